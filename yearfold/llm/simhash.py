@@ -156,7 +156,7 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
         if size:
             yield rows(held)
 
-    def join(t: pa.Table) -> pa.Table:
+    def join(t):
         keys, own = (np.concatenate([np.frombuffer(x.as_py(), dtype=U) for x in t.column(c)]) for c in ("keys", "fps"))
         a, b = verify(keys, own)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
