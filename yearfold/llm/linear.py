@@ -9,21 +9,21 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 150) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 0.1, steps: int = 120) -> np.ndarray:
     """Coefficients, the intercept last (not penalised), by accelerated gradient descent from zero: the same data give the same model."""
     n, k = x.shape
     x = np.concatenate([x, np.ones((n, 1), dtype=x.dtype)], axis=1)
-    w = np.ones(n) if weight is None else weight
+    w = (np.ones(n) if weight is None else weight).astype(x.dtype)
     penalty = np.full(k + 1, l2)
     penalty[-1] = 1e-3
     v = np.random.default_rng(0).normal(size=k + 1)
     for _ in range(20):  # the largest curvature, by power iteration
         v /= np.linalg.norm(v)
-        v = x.T @ (w * (x @ v)) / 4 + penalty * v
+        v = x.T @ (w * (x @ v.astype(x.dtype))) / 4 + penalty * v
     step = 1 / np.linalg.norm(v) / 1.05
     beta, ahead, t = np.zeros(k + 1), np.zeros(k + 1), 1.0
     for _ in range(steps):
-        grad = x.T @ (w * (sigmoid(x @ ahead) - y)) + penalty * ahead
+        grad = x.T @ (w * (sigmoid(x @ ahead.astype(x.dtype)) - y)).astype(x.dtype) + penalty * ahead
         new = ahead - step * grad
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, beta, t = new + (t - 1) / t_new * (new - beta), new, t_new

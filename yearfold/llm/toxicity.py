@@ -25,10 +25,11 @@ from .common import prepare, table
 from .linear import fit, out_of_fold, predict
 
 CATEGORIES = ("explicit", "repeated", "toxic")
-SAMPLE, FEATURES, FOLDS = 4000, 256, 4
+SAMPLE, FEATURES, FOLDS = 2500, 256, 4
+BUCKETS = 1 << 21
 LEAST_TEXTS, PURITY, REPEATED = 5, 0.9, 3
 WORD = re.compile(r"\w+")
-STEMS = range(3, 8)
+STEMS = range(4, 8)
 
 
 def marks(word: str) -> list[str]:
@@ -40,6 +41,11 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def hashed(text: str) -> np.ndarray:
+    """The distinct buckets of a text's marks."""
+    return np.unique(np.fromiter((zlib.crc32(m.encode()) % BUCKETS for w in words_of(text) for m in marks(w)), dtype=np.int64))
+
+
 def one_of_copies(texts: list[str], labels: np.ndarray) -> list[int]:
     """Positions of texts, one for each smallest hash of five words, so that copies don't vote again and again."""
     seen, out = set(), []
@@ -57,13 +63,16 @@ class Chain:
         self.features, self.betas, self.marking = {f: i for i, f in enumerate(features)}, betas, marking
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}  # the tasks fill their own
+
     def row(self, words: set[str]) -> list[int]:
         out, known, index = set(), self.known, self.features
         for w in words:
             at = known.get(w)
             if at is None:
                 at = tuple(index[m] for m in marks(w) if m in index)
-                if len(known) >= 1 << 18:
+                if len(known) >= 1 << 17:
                     known.clear()
                 known[w] = at
             if at:
@@ -88,33 +97,42 @@ def train(texts: list[str], toxic: np.ndarray, prior: float | None = None) -> Ch
     """The chain of these labelled texts; prior: the share of toxic texts where the sample's differs."""
     keep = one_of_copies(texts, toxic)
     texts, toxic = [texts[i] for i in keep], np.asarray(toxic)[keep].astype(float)
-    sets = [words_of(t) for t in texts]
-    count = (Counter(), Counter())
-    for s, y in zip(sets, toxic, strict=True):
-        count[int(y)].update({m for w in s for m in marks(w)})
     n1, n0 = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
 
-    def surprise(f):  # signed chi-square of presence against class
-        a, b = count[1][f] / n1, count[0][f] / n0
-        p = (count[1][f] + count[0][f]) / (n1 + n0)
-        return (a - b) * abs(a - b) / max(p * (1 - p), 1e-9)
-
+    def surprise(c1, c0):  # signed chi-square of presence against class
+        a, b = c1 / n1, c0 / n0
+        p = (c1 + c0) / (n1 + n0)
+        return (a - b) * np.abs(a - b) / np.maximum(p * (1 - p), 1e-9)
+
+    # Counts by hash first, so that only the marks worth a look are held as strings.
+    rough = np.zeros((2, BUCKETS), dtype=np.int32)
+    for t, y in zip(texts, toxic, strict=True):
+        rough[int(y), hashed(t)] += 1
+    score = np.abs(surprise(rough[1], rough[0])) * (rough.sum(axis=0) >= LEAST_TEXTS)
+    level = np.partition(score, -2 * FEATURES)[-2 * FEATURES]
+    worth = score >= max(level, 1e-12)
+    count = (Counter(), Counter())
+    for t, y in zip(texts, toxic, strict=True):
+        if worth[hashed(t)].any():
+            count[int(y)].update({m for w in words_of(t) for m in marks(w) if worth[zlib.crc32(m.encode()) % BUCKETS]})
+    del rough, score, worth
     often = [f for f in count[1].keys() | count[0].keys() if count[1][f] + count[0][f] >= LEAST_TEXTS]
-    ranked = sorted(often, key=lambda f: (-abs(surprise(f)), f))[:FEATURES]
+    ranked = sorted(often, key=lambda f: (-abs(surprise(count[1][f], count[0][f])), f))[:FEATURES]
     pure = [f for f in ranked if f[-1] != "*" and count[1][f] / n1 >= PURITY * (count[1][f] / n1 + count[0][f] / n0)]
     chain = Chain(ranked, [], set(pure))
-    x = np.zeros((len(texts), len(ranked)))
+    x = np.zeros((len(texts), len(ranked)), dtype=np.float32)
     hits = np.zeros(len(texts))
-    for i, s in enumerate(sets):
-        x[i, chain.row(s)] = 1
-        hits[i] = len(s & chain.marking)
+    for i, t in enumerate(texts):
+        words = words_of(t)
+        x[i, chain.row(words)] = 1
+        hits[i] = len(words & chain.marking)
     targets = [toxic * (hits >= 1), toxic * (hits >= REPEATED), toxic]
     prior = n1 / (n1 + n0) if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
     weight = np.where(toxic > 0, prior / n1, (1 - prior) / n0) * len(toxic)
     fold = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts])
     for y in targets:
         chain.betas.append(fit(x, y, weight=weight))
-        x = np.concatenate([x, out_of_fold(x, y, fold, weight=weight)[:, None]], axis=1)
+        x = np.concatenate([x, out_of_fold(x, y, fold, weight=weight)[:, None].astype(np.float32)], axis=1)
     return chain
 
 
