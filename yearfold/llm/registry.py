@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets, simhash, substrings, topk, toxicity
+from . import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, substrings, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op2_secrets": secrets.op2_secrets,
+        "op3_html": html_text.op3_html,
+        "op4_quality": quality.op4_quality,
         "op5_topk": topk.op5_topk,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_substrings": substrings.op7_substrings,
@@ -18,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_substrings": substrings.ORACLE}
+    return {"op1_licenses": licenses.ORACLE, "op5_topk": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_substrings": substrings.ORACLE}
