@@ -140,7 +140,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prepare(spark)
     rows, size = text_bytes(df, text)
     width = shuffle_partitions(spark)
-    chunks = max(3 * width, -(-size // CHUNK_BYTES))
+    chunks = max(width, -(-size // CHUNK_BYTES))
     buckets = max(width, -(-size // 6 * 12 // BUCKET_BYTES))
     own = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     docs = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
