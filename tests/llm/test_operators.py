@@ -1,0 +1,211 @@
+"""Each operator against a brute-force version, and on nulls, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from yearfold.llm import bpe, decontaminate, html_text, licenses, quality, secrets, simhash, substrings, topk, toxicity
+
+WORDS = ["the", "of", "Alpha", "béta", "gamma", "x1", "delta", "ÉPSILON", "zeta", "eta"]
+
+
+def passage(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randint(0, 60)) for _ in range(n))
+
+
+P = passage(1, 60)
+TEXTS = [None, "", "   ", "a", P, P, f"{passage(2, 20)} {P}\n{passage(3, 9)}", passage(4, 30) + " token = 'abcdefghijkl0123' " + passage(5, 12), P + " end", "same " * 90, passage(6, 3000), "\x1c\x85 \xa0é " + P.replace(" ", "\t")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "src0", len(t or ""), i) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fp int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_bpe(docs, empty):
+    got = {r.doc_id: r for r in bpe.encode_decode(docs.withColumn("ids", F.lit(1))).collect()}
+    for i, t in enumerate(TEXTS):
+        n, ids, decoded = bpe.brute_force(t)
+        assert (got[i].n_tokens, hashlib.sha256(got[i].ids).hexdigest(), hashlib.sha256(got[i].decoded.encode()).hexdigest()) == (n, ids, decoded)
+        assert got[i].decoded == (t or "")
+    assert bpe.encode_decode(empty).count() == 0
+
+
+def test_bpe_words():
+    from tokenizers import Tokenizer
+
+    with open(bpe.default_path()) as f:
+        m = bpe.MergeAutomaton(f.read())
+    t, r = Tokenizer.from_file(bpe.default_path()), random.Random(0)
+    for _ in range(3000):
+        s = "".join(r.choice("ab \n\t'ste.,É1²_<|") for _ in range(r.randint(0, 30))) + r.choice(["", "", "<|endoftext|>"])
+        assert list(m.encode(s)) == t.encode(s, add_special_tokens=False).ids
+
+
+def test_simhash(docs, empty):
+    want = simhash.brute_force(list(enumerate(TEXTS)))
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == sorted(want)
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
+    twice = simhash.keep_one(docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))))
+    assert twice.count() == len({c for _, _, c in want})
+
+
+def test_simhash_long_runs():
+    r = np.random.default_rng(3)
+    base = int(r.integers(0, 2**63))
+    fp = np.unique(np.array([base ^ sum({1 << int(b) for b in r.integers(0, 64, r.integers(0, 6))}) for _ in range(900)], dtype=np.uint64))
+    a, b = simhash.verify(*simhash.variants(fp))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2
+
+    def groups(pairs):
+        own = list(range(len(fp)))
+
+        def root(i):
+            while own[i] != i:
+                i = own[i]
+            return i
+
+        for x, y in pairs:
+            x, y = sorted((root(x), root(y)))
+            own[y] = x
+        return [root(i) for i in range(len(fp))]
+
+    at = {int(v): i for i, v in enumerate(fp)}
+    assert groups((at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)) == groups((int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_substrings(docs, empty):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(substrings.brute_force(TEXTS)))
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def test_difference_cover():
+    assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontaminate(spark, docs, empty, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    items = [(1, P[:200].upper().replace("É", "É")), (20, "ALPHA0"), (3, None), (4, "..."), (5, " ".join(P.split()[5:20])), (None, " ".join(P.split()[30:42]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+
+    def words(t):
+        import re
+
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    for i, t in enumerate(TEXTS):
+        ws, hit, named = words(t), set(), set()
+        for item, it in items:
+            iw = words(it)
+            for k in range(max(1, len(iw) - 9)) if iw else ():
+                win = iw[k : k + 10]
+                for a in range(len(ws) - len(win) + 1):
+                    if ws[a : a + len(win)] == win:
+                        hit |= set(range(a, a + len(win)))
+                        named |= {str(item)} if item is not None else set()
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (len(ws), len(hit), sorted(named)), i
+    assert decontaminate.contamination(docs.union(docs), bench).count() == 2 * len(TEXTS)
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_secrets(spark, docs, empty):
+    r = random.Random(5)
+    bits = ["token", "secret = ", "PassWord:", "AKIA", "é", "😀", " ", "\n", '"', "=", "550e8400-e29b-41d4-a716-446655440000", "0123456789abcdef01"]
+    texts = TEXTS + ["password=token: abcdefghijklmnop", "token=secret=abcdefghijklm"]
+    texts += ["".join(r.choice(bits) if r.random() < 0.5 else "".join(r.choice("ABCdefghijKLMNopq0123456789+/_-") for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 9))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("base", F.lit("x"))
+    for row in secrets.scan(df).collect():
+        base, added = secrets.brute_force(row.text)
+        assert ([tuple(x) for x in row.base], [tuple(x) for x in row.added]) == (base, added)
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.where("text LIKE '%abcdefghijkl0123%'").isEmpty() and clean.count() == len(TEXTS)
+    assert secrets.scan(empty).count() == 0
+
+
+def test_topk(spark):
+    r = random.Random(2)
+    rows = [(i, [r.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(4)]) for i in range(420)] + [(1000, None), (1001, [None, 1.0, 0.0, 0.0]), (1002, [float("nan")] * 4), (1100, [float("inf")] * 4), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = topk.quantized(df)
+    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 100 = 0"), shard_rows=50).collect()))
+    q = {i: [int(np.floor(1024 * float(np.float32(x)))) for x in e] for i, e in rows[:420]}
+    want = []
+    for i in range(0, 420, 100):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)[:10]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_html(spark):
+    field = html_text.trained()
+    held = html_text.made_pages(80, seed=123)
+    right = [x == y for p, ys in held for x, y in zip(field.decode(html_text.blocks(p)), ys, strict=True)]
+    assert np.mean(right) > 0.97
+    page = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><article><h1>Rock &amp; roll</h1><p>One\n two<br>three.<p><b>Four <i>five</i>.</article><div class="ad">Buy</div><footer>&copy; x</footer>'
+    df = spark.createDataFrame([(1, page), (1, page), (2, None), (3, ""), (4, "<p"), (5, "<article><p>cut o")], "page_id long, html string").withColumn("text", F.lit("own"))
+    got = html_text.extract(df).collect()
+    assert [(r.page_id, r.text, r.n_chars) for r in got][:2] == [(1, "Rock & roll\n\nOne two three.\n\nFour five.", 39)] * 2
+    assert [r.text for r in got][2:5] == ["", "", ""] and got[5].text == "cut o"
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def labelled(spark, n=300):
+    r = random.Random(8)
+    rows = []
+    for i in range(n):
+        bad, junk = i % 5 == 0, i % 7 == 0
+        words = [f"w{r.randint(0, 400)}" for _ in range(40)] + ([r.choice(["grumbo", "snarfel", "vexlit"]) + r.choice(["", "er", "ing"]) for _ in range(4)] if bad else [])
+        r.shuffle(words)
+        rows.append((i, (" | ".join(w.upper() + "!!" for w in words) if junk else " ".join(words) + "."), "en", f"s{i % 6}", int(not junk), int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int, toxic int")
+
+
+def test_toxicity(spark, empty):
+    d = labelled(spark)
+    labels = d.where("doc_id < 200").select("doc_id", "quality", "toxic")
+    plain = d.drop("quality", "toxic")
+    out = {r.doc_id: r for r in toxicity.score(plain.union(spark.createDataFrame([(900, None, None, None)], plain.schema)), labels).collect()}
+    held = [r.doc_id for r in d.where("doc_id >= 200").collect()]
+    assert np.mean([out[i].toxic == (i % 5 == 0) for i in held]) > 0.95 and not out[900].toxic
+    assert toxicity.score(plain, labels.limit(0)).where("toxic").isEmpty()
+    assert toxicity.score(empty, labels).count() == 0
+    assert toxicity.clean(plain, labels).columns == plain.columns
+
+
+def test_quality(spark, empty):
+    d = labelled(spark)
+    labels = d.where("doc_id < 200").select("doc_id", "quality", "toxic")
+    plain = d.drop("quality", "toxic").union(spark.createDataFrame([(900, None, None, None)], d.drop("quality", "toxic").schema))
+    out = {r.doc_id: r for r in quality.score(plain, labels).collect()}
+    assert len(out) == 301 and np.mean([out[i].keep == (i % 7 != 0) for i in range(200, 300)]) > 0.95
+    assert all(0 <= r.path_posterior <= 1 for r in out.values())
+    assert quality.score(plain, labels.limit(0)).where("NOT keep").isEmpty()
+    assert quality.score(empty, labels).count() == 0
+
+
+def test_licenses(spark, empty):
+    rows = [("r/LICENSE", "Released under the MIT License."), ("r/a/x.py", "code"), ("r/a/b/y.py", "more\nLicensed under the Apache License, Version 2.0."), ("r/a/b/z.py", None), ("q/w.py", "no words of it"), (None, "x"), ("r/a/c/LICENSE", "Licensed under CC BY-NC 4.0."), ("r/a/c/d/e.py", "z")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string").withColumn("license", F.lit("x"))
+    named = F.col("path").rlike("(^|/)LICENSE$")
+    got = {r.doc_id: (r.license, r.origin, r.from_dir) for r in licenses.scan(df, F.col("path"), licence_file=named).collect()}
+    assert got == {0: ("MIT", "own", None), 1: ("MIT", "inherited", "r"), 2: ("Apache-2.0", "own", None), 3: ("MIT", "inherited", "r"), 4: (None, "none", None), 5: (None, "none", None), 6: ("CC-BY-NC-4.0", "own", None), 7: ("CC-BY-NC-4.0", "inherited", "r/a/c")}
+    assert licenses.scan(df.union(df), F.col("path"), licence_file=named).count() == 16
+    assert licenses.scan(empty, F.col("source")).count() == 0
