@@ -152,18 +152,18 @@ def sample_and_train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     return train(rows.column("text").to_pylist(), rows.column("toxic").to_numpy(), total.get(1, 0) / max(1, sum(total.values())))
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Adds p_explicit, p_repeated, p_toxic (double) and toxic (whether p_toxic is 0.5 or more); keep names the columns carried along.
 
-    Columns of the new names are replaced. Null and empty texts score as texts without words;
+    prefix goes before the new names. Columns of the new names, in either case, are replaced. Null and empty texts score as texts without words;
     without labelled texts all probabilities are zero and nothing is rejected. Repeated rows stay.
     """
     prepare(docs.sparkSession)
     chain = sample_and_train(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), labels, sample)
-    new = [f"p_{c}" for c in CATEGORIES] + ["toxic"]
-    kept = [c for c in (keep or docs.columns) if c not in new]
+    new = [prefix + c for c in [*(f"p_{c}" for c in CATEGORIES), "toxic"]]
+    kept = [c for c in (keep or docs.columns) if c.lower() not in new]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in new[:-1]] + [T.StructField("toxic", T.BooleanType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in new[:-1]] + [T.StructField(new[-1], T.BooleanType())])
 
     def run(batches):
         for b in batches:
@@ -175,12 +175,12 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, with their columns."""
-    own = docs.columns
-    marked = score(docs, labels, **options)
-    if "toxic" in own or any(f"p_{c}" in own for c in CATEGORIES):
-        raise ValueError("the documents have columns named as the scores")
-    return marked.where("NOT toxic").select(*[F.col(f"`{c}`") for c in own])
+    """The documents that are not rejected, with their own columns, those named like scores too."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    marked = score(docs, labels, prefix=prefix, **options)
+    return marked.where(f"NOT `{prefix}toxic`").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
