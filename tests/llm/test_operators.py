@@ -125,15 +125,23 @@ def test_decontaminate(spark, docs, empty, monkeypatch, limit):
     assert decontaminate.contamination(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_secrets(spark, docs, empty):
+def test_secrets(spark, docs, empty, tmp_path):
+    import duckdb
+
     r = random.Random(5)
     bits = ["token", "secret = ", "PassWord:", "AKIA", "é", "😀", " ", "\n", '"', "=", "550e8400-e29b-41d4-a716-446655440000", "0123456789abcdef01"]
-    texts = TEXTS + ["password=token: abcdefghijklmnop", "token=secret=abcdefghijklm"]
+    texts = TEXTS + ["password=token: abcdefghijklmnop", "token=secret=abcdefghijklm", "pa\u017f\u017fword=abcdefghijklm", "to\u212aen=abcdefghijklm", "k: qR7xZp2LmN9vAAaaAaT4wYb8Kd", "k: qR7xZp2LmN9vT4wYb8KdEXAMPLE", "md5-qR7xZp2LmN9vT4wYb8Kd"]
     texts += ["".join(r.choice(bits) if r.random() < 0.5 else "".join(r.choice("ABCdefghijKLMNopq0123456789+/_-") for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 9))) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("base", F.lit("x"))
     for row in secrets.scan(df).collect():
         base, added = secrets.brute_force(row.text)
         assert ([tuple(x) for x in row.base], [tuple(x) for x in row.added]) == (base, added)
+    df.selectExpr("CAST(id AS LONG) AS doc_id", "text").union(docs.select("doc_id", "text")).write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "doc_id, n_assign, n_access, n_hex, base_sha256, spans"
+    want = duckdb.sql(f"SELECT {columns} FROM ({secrets.ORACLE})").fetchall()
+    got = sorted(map(tuple, secrets.op2_secrets(spark, str(tmp_path)).collect()))
+    assert got == sorted(want) and any("entropy" in x[-1] for x in got)
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns and clean.where("text LIKE '%abcdefghijkl0123%'").isEmpty() and clean.count() == len(TEXTS)
     assert secrets.scan(empty).count() == 0
@@ -187,7 +195,10 @@ def test_toxicity(spark, empty):
     assert np.mean([out[i].toxic == (i % 5 == 0) for i in held]) > 0.95 and not out[900].toxic
     assert toxicity.score(plain, labels.limit(0)).where("toxic").isEmpty()
     assert toxicity.score(empty, labels).count() == 0
-    assert toxicity.clean(plain, labels).columns == plain.columns
+    kept = toxicity.clean(plain, labels)
+    assert kept.columns == plain.columns
+    clash = toxicity.clean(plain.withColumn("toxic", F.lit("own")).withColumn("p_toxic", F.lit(None).cast("int")), labels)
+    assert clash.columns == [*plain.columns, "toxic", "p_toxic"] and {(r.doc_id, r.toxic) for r in clash.collect()} == {(r.doc_id, "own") for r in kept.collect()}
 
 
 def test_quality(spark, empty):

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.ORACLE, "op5_topk": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_substrings": substrings.ORACLE}
+    return {"op1_licenses": licenses.ORACLE, "op2_secrets": secrets.ORACLE, "op5_topk": topk.ORACLE, "op6_decontaminate": decontaminate.ORACLE, "op7_substrings": substrings.ORACLE}

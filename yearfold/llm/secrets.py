@@ -135,3 +135,44 @@ def brute_force(text: str | None) -> tuple[list[tuple[int, int, int]], list[tupl
         if best >= next(v for p, v in THRESHOLDS if re.search(p, x)) - 1e-12 and not any(a < m.end() and b > m.start() for a, _, b in base):
             added.append((m.start(), 3, m.end()))
     return sorted(base), added
+
+
+def either_case(words: str) -> str:
+    """The pattern with a class for each ASCII letter: DuckDB's own (?i) also folds letters such as the long s."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def oracle() -> str:
+    """DuckDB SQL for op2_secrets: places from the texts between matches, each window's entropy counted anew."""
+    lit = lambda p: "'" + p.replace("'", "''") + "'"
+    assign = "(" + either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    run = "[A-Za-z0-9+/=_-]{20,}"
+    # No back reference in DuckDB: repeated characters are looked for by windows below.
+    allowed = ALLOWED.replace(r"|(.)\1{5}", "")
+    kinds = [(0, assign, 2), (1, ACCESS, 0), (2, HEX, 0), (3, run, 0)]
+    found = " UNION ALL ".join(f"SELECT rid, t, {k} AS kind, regexp_extract_all(t, {lit(p)}, 0) AS ms, regexp_extract_all(t, {lit(p)}, {g}) AS vs, regexp_split_to_array(t, {lit(p)}) AS ps FROM d" for k, p, g in kinds)
+    least = "CASE " + " ".join(f"WHEN regexp_matches(m, {lit(p)}) THEN {t}" for p, t in THRESHOLDS[:-1]) + f" ELSE {THRESHOLDS[-1][1]} END"
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
+    one = f"{name} || ':' || a || ':' || b"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+each AS (SELECT rid, kind, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM found WHERE len(ms) > 0),
+placed AS (SELECT rid, kind, m, v, sum(length(p) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS b FROM each),
+spans AS (SELECT rid, kind, m, CAST(b - length(m) AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM placed WHERE kind <> 0 OR length(v) >= {ASSIGN_LEAST}),
+base AS (SELECT rid, kind, a, b FROM spans WHERE kind < 3),
+likely AS (SELECT DISTINCT m FROM spans WHERE kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, {lit(allowed)})
+  AND NOT list_bool_or(list_transform(range(1, length(m) - 4), lambda i: substring(lower(m), i, 6) = repeat(substring(lower(m), i, 1), 6)))),
+windows AS (SELECT m, unnest(list_transform(range(1, length(m) - {WIDTH} + 2), lambda i: substring(m, i, {WIDTH}))) AS w FROM likely),
+bits AS (SELECT m, max(list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: -(({WIDTH} - length(replace(w, c, ''))) / {WIDTH}.0) * log2(({WIDTH} - length(replace(w, c, ''))) / {WIDTH}.0)))) AS most FROM windows GROUP BY m),
+random AS (SELECT m FROM bits WHERE most >= {least}),
+added AS (SELECT s.rid, s.kind, s.a, s.b FROM spans s JOIN random USING (m) WHERE s.kind = 3
+  AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = s.rid AND x.a < s.b AND x.b > s.a)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM added),
+texts AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+  string_agg({one}, ',' ORDER BY a, kind) FILTER (kind < 3) AS base_text, string_agg({one}, ',' ORDER BY a, kind) AS all_text FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base_text, '')) AS base_sha256, coalesce(all_text, '') AS spans
+FROM d LEFT JOIN texts USING (rid)"""
+
+
+ORACLE = oracle()
