@@ -29,7 +29,6 @@ from .common import prepare, table
 
 NEVER = 1 << 40
 CACHE_ENTRIES = 1 << 19
-HEAD = 4
 
 # The pre-tokenizer pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -50,28 +49,6 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
-class Recent(dict):
-    """What make gives for a string, kept for the last strings asked for.
-
-    When size entries are held, they become the older ones and those before them go; an older
-    entry asked for again is taken over, so what is frequent stays. Long strings are not kept.
-    """
-
-    def __init__(self, make, size: int):
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(key) < 64:
-            if len(self) >= self.size:
-                self.older = self.copy()
-                self.clear()
-            self[key] = found
-        return found
-
-
 class MergeAutomaton:
     def __init__(self, spec: str):
         model = json.loads(spec)
@@ -115,13 +92,9 @@ class MergeAutomaton:
             if alive[a] and alive[b] and self.blocked(a, b) >= r:
                 alive[w] = True
                 self.ids[self.labels[w]] = w
-        # The longest token that begins with these HEAD bytes; without an entry, tokens are shorter than HEAD.
-        self.reach: dict[bytes, int] = {}
-        for label in self.ids:
-            if len(label) >= HEAD:
-                self.reach[label[:HEAD]] = max(len(label), self.reach.get(label[:HEAD], 0))
-        self.words = Recent(self._word, CACHE_ENTRIES // 2)
-        self.pieces = Recent(self._piece, CACHE_ENTRIES)
+        self.longest = max(map(len, self.ids), default=1)
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def blocked(self, t: int, x: int) -> int:
         """When the state of t loses the arc x: 0 if it never has it, NEVER if it keeps it."""
@@ -149,21 +122,19 @@ class MergeAutomaton:
         The longest arc goes first. Every prefix has one path only, so a position that leads
         nowhere is dead for good and is not entered again.
         """
-        find, reach, known, n = self.ids.get, self.reach.get, self.table.get, len(data)
+        ids, arcs, n, longest = self.ids, self.table, len(data), self.longest
         out: list[int] = []
         starts: list[int] = []
         dead: set[int] = set()
         pos, limit, t = 0, n, -1
         while pos < n:
-            end = pos + reach(data[pos : pos + HEAD], HEAD - 1)
-            if end > limit:
-                end = limit
+            end = min(limit, pos + longest)
             while end > pos:
-                x = find(data[pos:end])
+                x = ids.get(data[pos:end])
                 if x is not None and (not dead or end not in dead):
                     if t < 0:
                         break
-                    when = known((t, x))
+                    when = arcs.get((t, x))
                     if (self.blocked(t, x) if when is None else when) == NEVER:
                         break
                 end -= 1
@@ -180,20 +151,39 @@ class MergeAutomaton:
                 raise ValueError(f"the vocabulary cannot spell {data!r}")
         return tuple(out)
 
-    def _word(self, word: str) -> bytes:
-        """Ids as bytes."""
-        return array("I", self.path(word.encode())).tobytes()
+    def _word(self, word: str) -> tuple[int, ...]:
+        found = self.words.get(word)
+        if found is None:
+            found = self.path(word.encode())
+            if len(word) <= 64:
+                if len(self.words) >= CACHE_ENTRIES:
+                    self.words.clear()
+                self.words[word] = found
+        return found
 
-    def _piece(self, piece: str) -> bytes:
-        """The same of a blank and the piece, which has none."""
-        return b"".join(map(self.words.__getitem__, PLAIN_SPLIT.findall(" " + piece)))
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Of a blank and what follows it up to the next one."""
+        found: tuple[int, ...] = ()
+        for word in PLAIN_SPLIT.findall(piece):
+            found += self._word(word)
+        if len(piece) <= 64:
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+            self.pieces[piece] = found
+        return found
 
-    def _ordinary(self, text: str) -> bytes:
+    def _ordinary(self, text: str, out: array) -> None:
         if PLAIN.fullmatch(text) and not RUN.search(text):
+            known, find = self.pieces.get, self._piece
             head, *rest = text.split(" ")
-            first = b"".join(map(self.words.__getitem__, PLAIN_SPLIT.findall(head)))
-            return first + b"".join(map(self.pieces.__getitem__, rest))
-        return b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
+            if head:
+                out.extend(known(head) or find(head))
+            for p in rest:
+                p = " " + p
+                out.extend(known(p) or find(p))
+        else:
+            for word in SPLIT.findall(text):
+                out.extend(self._word(word))
 
     def encode(self, text: str) -> array:
         """Token ids, as unsigned 32-bit integers; special tokens' strings in the text become those tokens."""
@@ -203,9 +193,9 @@ class MergeAutomaton:
                 if k % 2:
                     out.append(self.special[part])
                 elif part:
-                    out.frombytes(self._ordinary(part))
+                    self._ordinary(part, out)
         else:
-            out.frombytes(self._ordinary(text))
+            self._ordinary(text, out)
         return out
 
     def decode(self, ids) -> str:
