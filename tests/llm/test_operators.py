@@ -125,6 +125,15 @@ def test_decontaminate(spark, docs, empty, monkeypatch, limit):
     assert decontaminate.contamination(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontaminate_clean_judges_rows_by_their_text(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    bench = spark.createDataFrame([(1, P)], "item_id long, text string")
+    rows = [(None, "x " + P), (None, "clean"), (None, None), (7, P), (7, "clean"), (7, "clean"), (8, passage(9, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, decontaminate.clean(df, bench).collect()), key=str) == sorted((r for r in rows if P not in (r[1] or "")), key=str)
+
+
 def test_secrets(spark, docs, empty, tmp_path):
     import duckdb
 

@@ -45,6 +45,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     items without words have no window, and those with a null id give hits but no name. Repeated
     rows stay repeated. Without documents the result is empty; without items it is all zeros.
     """
+    return _contamination(docs, items, doc_id, text, item_id, item_text, window).drop("th")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int) -> DataFrame:
+    """contamination with th, the hash of the text, which tells rows of one doc_id apart."""
     prepare(docs.sparkSession)
     named = item_windows(items, item_id, item_text, window).checkpoint()
     wins = named.select("ws").distinct()
@@ -89,13 +94,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     out = per.join(items_of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     n_hit = F.expr("aggregate(hits, 0L, (n, h) -> n + h.b - h.a)")
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "hits")
+    return out.select("doc_id", "th", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "hits")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents in which no window of an item occurs."""
-    hit = contamination(docs, items, doc_id, text, item_id, item_text, window).where("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left_anti")
+    """The documents in which no window of an item occurs. Rows that share a doc_id, or have none, are judged each by its own text."""
+    hit = _contamination(docs, items, doc_id, text, item_id, item_text, window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__th")), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
