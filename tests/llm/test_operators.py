@@ -62,6 +62,16 @@ def test_simhash(docs, empty):
     assert twice.count() == len({c for _, _, c in want})
 
 
+def test_simhash_keep_one_tells_groups_with_one_id_apart(spark):
+    far = passage(21, 40)
+    near = [passage(22, 100), passage(22, 100) + " " + passage(3, 2)]
+    rows = [(5, P), (5, far), (5, far), (None, near[0]), (None, near[1]), (9, None), (None, "  ")]
+    fp = simhash.fingerprints(near)
+    assert fp[0] != fp[1] and np.bitwise_count(fp[0] ^ fp[1]) <= simhash.MOST_BITS
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4 and {(5, P), (5, far), (9, None)} <= set(kept) and sum(t in near for _, t in kept) == 1
+
+
 def test_simhash_long_runs():
     r = np.random.default_rng(3)
     base = int(r.integers(0, 2**63))

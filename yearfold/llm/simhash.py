@@ -192,22 +192,28 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     (then component_id is null). Null, empty and blank texts have fingerprint zero, which links
     like any other. Repeated rows stay repeated; an empty table gives an empty result.
     """
+    return _grouped(df, doc_id, text).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(fp, doc_id, component_id, root) of every row; root is a fingerprint that only the rows of one component share."""
     prepare(df.sparkSession)
     docs = add_fingerprint(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__t")), "__t", keep=["doc_id"]).checkpoint()
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = components(links(fps))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")).checkpoint()
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "root").select("fp", "component_id")
-    return docs.join(found, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = named.join(least, "root").select("fp", "component_id", "root")
+    return docs.join(found, "fp", "left")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay when each group of near-duplicates keeps its row with the smallest doc_id.
 
     Where doc_ids repeat or are null, one row of each group stays still: of equal ids, any one.
+    Groups are told apart by their root, as a smallest doc_id can be that of several.
     """
-    found = near_duplicates(df, doc_id, text).checkpoint()
+    found = _grouped(df, doc_id, text).checkpoint()
     n, ids, named = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id"), F.count("doc_id")).first()
     if n == ids == named:
         stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
@@ -217,13 +223,11 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def _keep_one_of_repeated(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     """For ids that are null or repeat: rows are told apart by id and fingerprint, and one of equal ones stays."""
-    named = found.groupBy("doc_id", "fingerprint").agg(F.min("component_id").alias("component_id"))
-    # a group without any id is named by its smallest fingerprint
-    least = named.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("f"), "fingerprint")).alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")).alias("s"))
-    stay = least.select(F.col("s.doc_id").alias("__id"), F.col("s.fingerprint").alias("__fp"))
-    marked = add_fingerprint(df, text, "__own").withColumn("__hex", F.lpad(F.lower(F.hex("__own")), 16, "0"))
-    kept = marked.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__hex") == F.col("__fp")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__hex"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
+    stay = least.select(F.col("s.doc_id").alias("__id"), F.col("s.fp").alias("__fp"))
+    marked = add_fingerprint(df, text, "__own")
+    kept = marked.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__own"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
