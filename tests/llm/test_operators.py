@@ -166,6 +166,22 @@ def test_secrets(spark, docs, empty, tmp_path):
     assert secrets.scan(empty).count() == 0
 
 
+def secrets_of(spark, texts):
+    """Texts of the added spans, and the redacted text, of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    added = {r.id: [texts[r.id][a:b] for a, _, b in r.added] for r in secrets.scan(df, whole=True).collect()}
+    clean = {r.id: r.text for r in secrets.redact(df).collect()}
+    return [(added[i], clean[i]) for i in range(len(texts))]
+
+
+def test_secrets_allow_list_suppresses_windows(spark):
+    key, hex64 = "qR7xZp2LmN9vT4wYb8Kd", hashlib.sha256(b"x").hexdigest()
+    whole = ["b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQ" + key, "----------" + key, "/samples/" + key, "example_" + key, key + "EXAMPLE", "sha256-" + hex64 + "/" + key]
+    none = ["qR7xZp2LmNexample9vT4wYb8Kd", "qR7xZp2LmN9vAAAAAAAAT4wYb8Kd", "550e8400-e29b-41d4-a716-446655440000", "md5-" + key, "sha256=jZ8wXk3LmQ0rT5vY7bN2cF4gH6dS9aPeU1iOoKxVzRq", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    assert [x for x, _ in secrets_of(spark, ["k: " + t for t in whole + none])] == [[t] for t in whole] + [[]] * len(none)
+    assert [c for _, c in secrets_of(spark, ["k: " + t + " end" for t in whole])] == ["k: [secret] end"] * len(whole)
+
+
 def test_topk(spark):
     r = random.Random(2)
     rows = [(i, [r.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(4)]) for i in range(420)] + [(1000, None), (1001, [None, 1.0, 0.0, 0.0]), (1002, [float("nan")] * 4), (1100, [float("inf")] * 4), (None, [1.0] * 4)]

@@ -28,6 +28,10 @@ RUN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 THRESHOLDS = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Za-z0-9]+$", 3.6), ("", 3.8))
 # Examples, repeated or counted-up characters, UUIDs, digests named as such.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|(.)\1{5}|01234567|12345678|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(sha1|sha256|sha384|sha512|md5)[-_=]"
+# Hex digits and base64 characters of digests.
+DIGESTS = {"md5": (32, 22), "sha1": (40, 27), "sha256": (64, 43), "sha384": (96, 64), "sha512": (128, 86)}
+# The allow-list by places in a run: repeats to their end, and named digests as long as such are, or the run if it is no longer.
+APART = ALLOWED.replace(r"(.)\1{5}", r"(.)\1{5,}").rsplit("|^(", 1)[0] + "".join(rf"|^{n}[-_=](?:[0-9a-f]{{{h}}}|[a-z0-9+/_-]{{{b}}}=|[a-z0-9+/=_-]{{0,{h}}}$|)" for n, (h, b) in DIGESTS.items())
 NONE = "CAST(array() AS ARRAY<STRUCT<start: INT, kind: INT, end: INT>>)"
 LOW, HIGH = 43, 122  # code points of + and z
 
@@ -53,8 +57,8 @@ def entropy_term() -> str:
     return "array(" + ", ".join(f"{(c * math.log2(c) if c else 0.0)!r}D" for c in range(WIDTH + 1)) + ")"
 
 
-def random_enough(x: str) -> str:
-    """Whether some window of the string x reaches its class's threshold.
+def random_enough(x: str, run: str) -> str:
+    """Whether some window of the string x, the run or a part of it, reaches the threshold of the run's class.
 
     s is the sum of c * log2(c) over the counts c of the window's characters; the entropy of a
     full window is log2(WIDTH) - s / WIDTH, so the lowest s decides.
@@ -69,16 +73,17 @@ def random_enough(x: str) -> str:
           'n', transform(a.n, (c, k) -> c + CASE WHEN k + 1 = {enter} THEN 1 ELSE 0 END - CASE WHEN k + 1 = {leave} THEN 1 ELSE 0 END),
           's', {s}, 'low', CASE WHEN i >= {WIDTH} THEN least(a.low, {s}) ELSE a.low END),
         a -> a.low)"""
-    least = "CASE " + " ".join(f"WHEN {x} RLIKE {q(p)} THEN {t}D" for p, t in THRESHOLDS[:-1]) + f" ELSE {THRESHOLDS[-1][1]}D END"
+    least = "CASE " + " ".join(f"WHEN {run} RLIKE {q(p)} THEN {t}D" for p, t in THRESHOLDS[:-1]) + f" ELSE {THRESHOLDS[-1][1]}D END"
     return f"({math.log2(WIDTH)!r}D - ({lowest}) / {WIDTH} >= {least})"
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
+def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     """Adds base and added: arrays of (start, kind, end), code points, end exclusive, in order.
 
     kind indexes KINDS; base holds what the patterns find, added what entropy adds beside them.
     Columns of these names are replaced. Null and empty texts have no spans; rows are handled one
-    by one, so repeated rows stay and empty tables stay empty.
+    by one, so repeated rows stay and empty tables stay empty. By op2's SQL, one match of the
+    allow-list suppresses its run; with whole, only windows that overlap a match are suppressed.
     """
     prepare(df.sparkSession)
     names = [c for c in df.columns if c not in ("base", "added")]
@@ -86,9 +91,10 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumns({"__assign": F.expr(f"regexp_extract_all(__t, {q(ASSIGN)}, 0)"), "__value": F.expr(f"regexp_extract_all(__t, {q(ASSIGN)}, 1)"), "__access": F.expr(f"regexp_extract_all(__t, {q(ACCESS)}, 0)"), "__hex": F.expr(f"regexp_extract_all(__t, {q(HEX)}, 0)"), "__run": F.expr(f"regexp_extract_all(__t, {q(RUN)}, 0)")})
     found = [spans("__assign", "__t", ASSIGN, 0, f"length(element_at(__value, $i + 1)) >= {ASSIGN_LEAST}"), spans("__access", "__t", ACCESS, 1, "true"), spans("__hex", "__t", HEX, 2, "true")]
     d = d.withColumn("base", F.expr(f"array_sort(concat({', '.join(found)}))"))
-    likely = f"$m RLIKE '[0-9]' AND $m RLIKE '[A-Za-z]' AND NOT $m RLIKE {q(ALLOWED)}"
+    likely = "$m RLIKE '[0-9]' AND $m RLIKE '[A-Za-z]'" + ("" if whole else f" AND NOT $m RLIKE {q(ALLOWED)}")
     d = d.withColumn("__run", F.expr(f"CASE WHEN exists(__run, r -> {likely.replace('$m', 'r')}) THEN __run ELSE CAST(array() AS ARRAY<STRING>) END"))
-    d = d.withColumn("__more", F.expr(spans("__run", "__t", RUN, 3, f"{likely} AND {random_enough('$m')}")))
+    windows = f"exists(split($m, {q(APART)}, -1), w -> length(w) >= {WIDTH} AND {random_enough('w', '$m')})" if whole else random_enough("$m", "$m")
+    d = d.withColumn("__more", F.expr(spans("__run", "__t", RUN, 3, f"{likely} AND {windows}")))
     d = d.withColumn("added", F.expr("filter(__more, e -> NOT exists(base, b -> b.start < e.end AND b.end > e.start))"))
     return d.select(*[F.col(f"`{c}`") for c in names], "base", "added")
 
@@ -100,7 +106,7 @@ def as_text(spans_col: str) -> F.Column:
 
 def redact(df: DataFrame, text: str = "text", by: str = "[secret]") -> DataFrame:
     """The same rows and columns with every span, base and added, replaced in the text. Null texts stay null."""
-    d = scan(df.select("*", F.col(f"`{text}`").alias("__whole")), "__whole")
+    d = scan(df.select("*", F.col(f"`{text}`").alias("__whole")), "__whole", whole=True)
     merged = """aggregate(array_sort(concat(base, added)), CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>), (m, s) ->
         CASE WHEN size(m) > 0 AND element_at(m, -1).b >= s.start
              THEN concat(slice(m, 1, size(m) - 1), array(struct(element_at(m, -1).a AS a, greatest(element_at(m, -1).b, s.end) AS b)))
