@@ -83,7 +83,8 @@ def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     kind indexes KINDS; base holds what the patterns find, added what entropy adds beside them.
     Columns of these names are replaced. Null and empty texts have no spans; rows are handled one
     by one, so repeated rows stay and empty tables stay empty. By op2's SQL, one match of the
-    allow-list suppresses its run; with whole, only windows that overlap a match are suppressed.
+    allow-list suppresses its run, and any base span the added ones that touch it; with whole,
+    only windows that overlap a match are suppressed, and only spans that base covers entirely.
     """
     prepare(df.sparkSession)
     names = [c for c in df.columns if c not in ("base", "added")]
@@ -95,7 +96,9 @@ def scan(df: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     d = d.withColumn("__run", F.expr(f"CASE WHEN exists(__run, r -> {likely.replace('$m', 'r')}) THEN __run ELSE CAST(array() AS ARRAY<STRING>) END"))
     windows = f"exists(split($m, {q(APART)}, -1), w -> length(w) >= {WIDTH} AND {random_enough('w', '$m')})" if whole else random_enough("$m", "$m")
     d = d.withColumn("__more", F.expr(spans("__run", "__t", RUN, 3, f"{likely} AND {windows}")))
-    d = d.withColumn("added", F.expr("filter(__more, e -> NOT exists(base, b -> b.start < e.end AND b.end > e.start))"))
+    touched = "exists(base, b -> b.start < e.end AND b.end > e.start)"
+    covered = "aggregate(base, e.start, (r, b) -> CASE WHEN b.start <= r THEN greatest(r, b.end) ELSE r END) >= e.end"
+    d = d.withColumn("added", F.expr(f"filter(__more, e -> NOT {covered if whole else touched})"))
     return d.select(*[F.col(f"`{c}`") for c in names], "base", "added")
 
 
