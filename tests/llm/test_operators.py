@@ -264,3 +264,14 @@ def test_licenses(spark, empty):
     assert got == {0: ("MIT", "own", None), 1: ("MIT", "inherited", "r"), 2: ("Apache-2.0", "own", None), 3: ("MIT", "inherited", "r"), 4: (None, "none", None), 5: (None, "none", None), 6: ("CC-BY-NC-4.0", "own", None), 7: ("CC-BY-NC-4.0", "inherited", "r/a/c")}
     assert licenses.scan(df.union(df), F.col("path"), licence_file=named).count() == 16
     assert licenses.scan(empty, F.col("source")).count() == 0
+
+
+def test_licenses_whole_texts_and_headers(spark):
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause", "MIT", "ISC", "LGPL-2.1", "0BSD"]
+    rows = [(f"{n}/LICENSE", n, f"Copyright (c) 2020 Some One\n\n{dict(licenses.whole_licenses())[n]}") for n in names] + [(f"{n}/x.py", n, "code") for n in names]
+    apache = "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\nint x;\n"
+    gnu = "# This program is free software: you can\n# redistribute it and/or modify it under the\n# terms of the GNU {}\n# Public License as published by the Free\n# Software Foundation, either version 3 of\n# the License, or (at your option) any\n# later version.\n\nimport os\n"
+    rows += [("p/a", "Apache-2.0", apache), ("p/b", "GPL-3.0", gnu.format("General")), ("p/c", "AGPL-3.0", gnu.format("Affero General")), ("p/d", "MPL-2.0", "// SPDX-License-Identifier: MPL-2.0\nx"), ("p/e", "GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later\nx"), ("n/f", None, passage(31, 300) + "\nno license is spoken of\n" + passage(32, 300))]
+    df = spark.createDataFrame([(i, p, t) for i, (p, _, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(df, F.col("path")).collect()}
+    assert got == {p: (n, "inherited" if p.endswith("x.py") else "own" if n else "none") for p, n, _ in rows}

@@ -1,19 +1,25 @@
 """License scans: headers and licence files against templates, and inheritance along directories.
 
 Header lines are those that speak of licences. Each different one is compared once with every
-template, by the cosine of sparse TF-IDF vectors, and carried back to its documents. A document
+template, by the cosine of sparse TF-IDF vectors, and carried back to its documents. So are
+paragraphs of several lines with header templates, and whole texts with whole licences. A document
 without a licence of its own takes that of the nearest directory above it that has a licence
 file. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table
 
 THRESHOLD, FILE_SHARE = 0.6, 0.05
+BLOCK_THRESHOLD, WHOLE_THRESHOLD = 0.7, 0.8
+SPDX = r"(?i)SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.-]*)"
 SPEAKS = r"(?i)licen[cs]e|copyright|spdx|public domain|warrant|permission is"
 # Short statements of common licences.
 TEMPLATES = (
@@ -33,6 +39,39 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose is granted under the ISC License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain, see the Unlicense"),
 )
+# First paragraphs of the headers that licences give for files.
+_GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+HEADERS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("GPL-2.0", _GNU.format("General Public License", "2")),
+    ("GPL-3.0", _GNU.format("General Public License", "3")),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", "3")),
+    ("AGPL-3.0", _GNU.format("Affero General Public License", "3")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+)
+
+
+def whole_licenses() -> tuple[tuple[str, str], ...]:
+    """(name, text) of each whole licence, from the files beside this module."""
+    return tuple((p.name[: -len(".txt")], p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
+def match_units(units: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float, spark: SparkSession) -> DataFrame:
+    """(u, license, cosine) of units (u, text) that reach the threshold. Words count by 1 + ln of their number, and by rarity among the templates."""
+    rows = ", ".join(f"({i}, '{name}', '{' '.join(re.findall('[a-z0-9]+', text.lower()))}')" for i, (name, text) in enumerate(templates))
+    weigh = lambda df, *keys: df.groupBy(*keys, "w").agg((F.log(F.count(F.lit(1))) + 1.0).alias("tf"))
+    t = weigh(spark.sql(f"SELECT t, license, explode(split(text, ' ')) AS w FROM VALUES {rows} AS x(t, license, text)"), "t", "license")
+    idf = t.groupBy("w").agg((F.log((F.lit(1.0) + len(templates)) / (F.lit(1.0) + F.count(F.lit(1)))) + 1.0).alias("idf"))
+    t = t.join(idf, "w").select("t", "license", "w", (F.col("tf") * F.col("idf")).alias("tw"))
+    t = t.join(t.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm")), "t").checkpoint()
+    v = weigh(units.select("u", F.explode(tokens(F.col("text"))).alias("w")), "u").join(F.broadcast(idf), "w", "left")
+    v = v.select("u", "w", (F.col("tf") * F.coalesce("idf", F.lit(1.0) + F.log(F.lit(1.0 + len(templates))))).alias("uw")).checkpoint()
+    norm = v.groupBy("u").agg(F.sqrt(F.sum(F.col("uw") * F.col("uw"))).alias("norm"))
+    dot = v.join(F.broadcast(t), "w").groupBy("u", "t", "license", "tnorm").agg(F.sum(F.col("uw") * F.col("tw")).alias("dot"))  # some thousand rows, fixed above
+    cos = dot.join(norm, "u").withColumn("cosine", F.round(F.col("dot") / F.col("norm") / F.col("tnorm"), 6)).where(F.col("cosine") >= threshold)
+    return cos.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("u", "b.license", (-F.col("b.c")).alias("cosine"))
 
 
 def tokens(c):
@@ -62,7 +101,7 @@ def scan(df: DataFrame, path, doc_id: str = "doc_id", text: str = "text", licenc
 
     path: a column with / between its parts. origin is own, inherited or none; license, cosine
     and from_dir are null where there is none (from_dir unless inherited). A licence file, by
-    default a row whose matching lines make FILE_SHARE of its text, speaks for its directory; of
+    default a row that is a whole licence or whose matching lines make FILE_SHARE of its text, speaks for its directory; of
     several licences there the most frequent one does, then the first name. Null texts have no
     lines, a null path no directory. Repeated rows stay; an empty table gives an empty result.
     """
@@ -70,11 +109,24 @@ def scan(df: DataFrame, path, doc_id: str = "doc_id", text: str = "text", licenc
     prepare(spark)
     t = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), path.alias("path"), F.xxhash64(path, t).alias("h"), F.length(t).alias("size"), F.coalesce(t, F.lit("")).alias("t"))
-    docs = docs.withColumn("lines", F.when(F.col("t").rlike(SPEAKS), F.filter(F.split("t", "\n"), lambda x: x.rlike(SPEAKS))).otherwise(F.array().cast("array<string>"))).drop("t").checkpoint()
+    docs = docs.withColumn("lines", F.when(F.col("t").rlike(SPEAKS), F.filter(F.split("t", "\n"), lambda x: x.rlike(SPEAKS))).otherwise(F.array().cast("array<string>")))
+    docs = docs.withColumn("t", F.when(F.size("lines") > 0, F.col("t"))).checkpoint()
+    texts = docs.where("t IS NOT NULL").select("doc_id", "h", "path", "size", F.xxhash64("t").alias("u"), "t")
     said = docs.where(F.size("lines") > 0).select("doc_id", "h", "path", "size", F.explode("lines").alias("line"))
-    hits = match_lines(said.groupBy("line").agg(F.count(F.lit(1)).alias("n")).checkpoint(), spark).checkpoint()
-    own = said.join(hits, "line").groupBy("doc_id", "h", "path", "size").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"), F.sum(F.length("line")).alias("matched"))
-    own = own.select("doc_id", "h", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (F.col("matched") / F.col("size")).alias("share")).checkpoint()
+    hits = match_lines(said.groupBy("line").agg(F.count(F.lit(1)).alias("n")).checkpoint(), spark)
+    named = F.regexp_replace(F.regexp_extract("line", SPDX, 1), "(?i)-(only|or-later)$", "")
+    spdx = said.select("line").distinct().where(F.col("line").rlike(SPDX)).select("line", named.alias("license"), F.lit(1.0).alias("cosine"))
+    hits = hits.join(spdx.select("line"), "line", "left_anti").union(spdx).checkpoint()
+    of = said.join(hits, "line").select("doc_id", "h", "path", "size", F.lit(1).alias("rank"), "cosine", "license", F.length("line").alias("matched"))
+    # paragraphs of several lines; a single line is compared above
+    blocks = texts.select("doc_id", "h", "path", "size", F.explode(F.split("t", r"\n[^A-Za-z0-9\n]*\n")).alias("text")).where(F.col("text").rlike(SPEAKS) & F.trim("text", F.lit("\n")).contains("\n")).withColumn("u", F.xxhash64("text"))
+    of_block = blocks.join(match_units(blocks.select("u", "text").dropDuplicates(["u"]), HEADERS, BLOCK_THRESHOLD, spark), "u").select("doc_id", "h", "path", "size", F.lit(1), "cosine", "license", F.lit(0))
+    whole = match_units(texts.select("u", F.col("t").alias("text")).dropDuplicates(["u"]), whole_licenses(), WHOLE_THRESHOLD, spark)
+    of_whole = texts.join(whole, "u").select("doc_id", "h", "path", "size", F.lit(0), "cosine", "license", F.lit(0))
+    docs = docs.drop("t")
+    of = of.union(of_block).union(of_whole)
+    own = of.groupBy("doc_id", "h", "path", "size").agg(F.min(F.struct("rank", (-F.col("cosine")).alias("c"), "license")).alias("b"), F.sum("matched").alias("matched"))
+    own = own.select("doc_id", "h", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.when(F.col("b.rank") == 0, 1.0).otherwise(F.col("matched") / F.col("size")).alias("share")).checkpoint()
     parent = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     files = own.where(licence_file if licence_file is not None else F.col("share") >= FILE_SHARE).where("path IS NOT NULL")
     votes = files.groupBy(parent(F.col("path")).alias("dir"), "license").agg(F.count(F.lit(1)).alias("n"))
