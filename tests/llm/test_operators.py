@@ -102,6 +102,48 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def thue_morse(k):
+    """Two words of 2 ** k letters that polynomial hashes modulo a power of two cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def repeats(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(df).collect()}
+
+
+def test_substrings_compare_words(spark):
+    one, other = thue_morse(10)
+    fill = passage(40, 40).split()
+    texts = [" ".join([*fill[:20], w, *fill[20:]]) for w in (one, other)]
+    assert repeats(spark, texts) == dict(enumerate(substrings.brute_force(texts))) and substrings.brute_force(texts)[0][1] == 0
+
+
+def test_substrings_words_decide_where_hashes_clash(monkeypatch):
+    r = np.random.default_rng(9)
+    ids = np.concatenate([np.tile(r.integers(0, 50, 90), 3), np.tile([1, 2, 3], 60), r.integers(0, 50, 200)]).astype(np.int32)
+    monkeypatch.setattr(substrings, "windows", lambda x, n, which=0: x[: max(0, len(x) - n + 1)] % np.uint64(2))
+    starts = np.arange(len(ids) - substrings.WINDOW + 1)
+    words = [ids[i : i + substrings.WINDOW].tobytes() for i in starts]
+    names = substrings.same_words(ids, starts).tolist()
+    assert len(set(names)) == len(set(words)) == len(set(zip(names, words, strict=True))) < len(starts)
+
+
+def test_substrings_at_random(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 3000)
+    r = random.Random(11)
+    shared = [passage(200 + i, r.randint(30, 90)) for i in range(6)] + ["so it goes " * 40, "x " * 300]
+    texts = []
+    for i in range(120):
+        parts = [passage(300 + i, r.randint(0, 50))] + [r.choice([r.choice(shared), passage(1000 + 7 * i + k, r.randint(0, 40))]) for k in range(r.randint(0, 4))]
+        texts.append(r.choice([" ", "\n", "\t "]).join(parts))
+    texts += texts[:9] + [None, "w" * 200_000 + " " + shared[0]]
+    assert repeats(spark, texts) == dict(enumerate(substrings.brute_force(texts)))
+
+
 def test_difference_cover():
     assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
 

@@ -4,119 +4,184 @@ A window is WINDOW consecutive words. Positions modulo PERIOD in COVER form a di
 cover: for any two positions i and j there is a shift below PERIOD that brings both into the
 cover. So two equal windows share an aligned anchor, a run of WINDOW - PERIOD + 1 words that
 starts at a cover position in both. Only anchors at cover positions (5 of 21) are hashed and
-compared over the corpus; around those that repeat, whole windows are then compared.
+compared over the corpus. Those that repeat are extended to the windows around them, and these
+are compared word by word: neighbouring windows travel as one text, to where all windows go
+that have the same least anchor inside. Hashes only bring windows together; words decide.
 
-Texts are dealt to bounded chunks, and hashes go to buckets as packed arrays: a bucket learns
-which of its hashes occur more than once and tells each chunk that sent one. A hash goes from
-a chunk twice at most, however often it occurs there, so frequent passages do not pile up.
+Texts are dealt to bounded chunks by row position. A chunk sends a hash or a text once, marked
+if it holds it several times, so frequent passages do not pile up; buckets are bounded, too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, sha256_text, shuffle_partitions, table, text_bytes
-from .wordhash import mix, windows, word_hashes
+from .wordhash import mix, windows
 
 WINDOW, PERIOD = 35, 21
 COVER = (3, 6, 7, 12, 14)
 ANCHOR = WINDOW - PERIOD + 1
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 32 << 20, 4 << 20, 16 << 20
 U = np.uint64
-WHOLE = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
-class Chunk:
-    """The words of some documents: their hashes after each other, and where each document starts."""
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()  # bytes: ASCII white space only
 
-    def __init__(self, texts: pa.ChunkedArray):
-        self.docs = [(t.as_py() or "").encode().split() for t in texts]  # bytes: ASCII white space only
-        self.n = np.array([len(d) for d in self.docs], dtype=np.int64)
+
+def slices(texts: pa.ChunkedArray):
+    """The texts in order, in lists of SLICE_BYTES or of one text."""
+    held, size = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        if held and size + len(t) > SLICE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+class Words:
+    """The words of some documents after each other, with a hash each, and where each document starts."""
+
+    def __init__(self, texts: list[str]):
+        docs = [split(t) for t in texts]
+        self.n = np.array([len(d) for d in docs], dtype=np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.n)))
-        self.words = word_hashes(self.docs)
+        flat = [w for d in docs for w in d]
+        coded = pa.array(flat, pa.binary()).dictionary_encode()
+        known = np.array([xxhash.xxh64_intdigest(w, 7) for w in coded.dictionary.to_pylist()], dtype=U)
+        self.hashes = known[coded.indices.to_numpy()] if flat else np.zeros(0, dtype=U)
+        self.bytes = b" ".join(flat)
+        self.at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) + 1)))
         self.end_of = np.repeat(self.start[1:], self.n)
-        self.pos = np.arange(len(self.words)) - np.repeat(self.start[:-1], self.n)
+        self.pos = np.arange(len(flat)) - np.repeat(self.start[:-1], self.n)
+        self.runs = windows(self.hashes, ANCHOR)  # every run of anchor length, those across documents too
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the anchors of documents that have a window at all."""
         enough = np.repeat(self.n >= WINDOW, self.n)
-        at = np.flatnonzero(np.isin(self.pos % PERIOD, COVER) & enough & (np.arange(len(self.words)) + ANCHOR <= self.end_of))
-        return at, windows(self.words, ANCHOR)[at] if len(at) else np.zeros(0, dtype=U)
-
-    def window_starts(self) -> np.ndarray:
-        return np.flatnonzero(np.arange(len(self.words)) + WINDOW <= self.end_of)
-
-    def whole(self, at: np.ndarray) -> np.ndarray:
-        """96 bits for each window that starts there."""
-        out = np.empty(len(at), dtype=WHOLE)
-        if len(at):
-            out["a"] = windows(self.words, WINDOW, 0)[at]
-            out["b"] = windows(self.words, WINDOW, 1)[at] >> U(32)
-        return out
-
-
-def twice(values: np.ndarray) -> np.ndarray:
-    """Sorted distinct values, and those that occur more than once a second time."""
-    distinct, count = np.unique(values, return_counts=True)
-    return np.repeat(distinct, np.minimum(count, 2))
-
-
-def deal(chunk: int, values: np.ndarray, buckets: int) -> pa.Table:
-    first = values["a"] if values.dtype.names else values
-    bucket = (mix(first, 7) >> U(33)) % U(buckets)
-    order = np.argsort(bucket, kind="stable")
-    named, at = np.unique(bucket[order], return_index=True)
-    parts = np.split(order, at[1:]) if len(named) else []
-    return pa.table({"bucket": pa.array(named.astype(np.int32)), "chunk": pa.array(np.full(len(named), chunk, dtype=np.int32)), "hashes": pa.array([values[p].tobytes() for p in parts], pa.binary())})
-
-
-DEALT = "bucket int, chunk int, hashes binary"
-
-
-def repeated(dealt: DataFrame, kind) -> DataFrame:
-    """(chunk, hashes): for each chunk, those it sent that were sent more than once in all."""
+        at = np.flatnonzero(np.isin(self.pos % PERIOD, COVER) & enough & (np.arange(len(self.pos)) + ANCHOR <= self.end_of))
+        return at, self.runs[at]
+
+    def extended(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(first window, windows, route, text) of each group of neighbouring windows with one least anchor, around anchors in known."""
+        at, h = self.anchors()
+        at = at[among(h, known)]
+        starts = np.flatnonzero(np.arange(len(self.pos)) + WINDOW <= self.end_of)
+        starts = starts[covered(len(self.pos), at, PERIOD - 1, 1)[starts]]
+        if not len(starts):
+            return starts, starts, np.zeros(0, dtype=U), []
+        least = sliding_least(self.runs, PERIOD)[starts]
+        first = np.flatnonzero(np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (least[1:] != least[:-1]))))
+        count = np.diff(np.concatenate((first, [len(starts)])))
+        a, b = self.at[starts[first]], self.at[starts[first] + count - 1 + WINDOW] - 1
+        return starts[first], count, least[first], [self.bytes[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n neighbours."""
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        x = np.minimum(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and whether each occurs more than once."""
+    if not parts:
+        return np.zeros(0, dtype=U), np.zeros(0, dtype=bool)
+    distinct, count = np.unique(np.concatenate(parts), return_counts=True)
+    return distinct, count > 1
+
+
+def dealt(chunk: int, bucket: np.ndarray, blobs, several: np.ndarray) -> pa.Table:
+    """A row for each bucket; blobs(from, to) gives what goes there. Buckets come in order, each one's entries together."""
+    named, at = np.unique(bucket, return_index=True)
+    ends = np.append(at[1:], len(bucket))[: len(at)]
+    data = [blobs(a, b) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+    marks = [np.packbits(several[a:b]).tobytes() for a, b in zip(at, ends, strict=True)]
+    return pa.table({"bucket": pa.array(named.astype(np.int32)), "chunk": pa.array(np.full(len(named), chunk, dtype=np.int32)), "data": pa.array(data, pa.binary()), "several": pa.array(marks, pa.binary())})
+
+
+DEALT, ANSWER = "bucket int, chunk int, data binary, several binary", "chunk int, bucket int, data binary"
+
+
+def marks_of(t: pa.Table, counts) -> np.ndarray:
+    """The several marks of all rows after each other, as 0 and 1."""
+    return np.concatenate([np.unpackbits(np.frombuffer(m.as_py(), dtype=np.uint8), count=n) for m, n in zip(t.column("several"), counts, strict=True)])
+
+
+def answer(t: pa.Table, data: list[bytes]) -> pa.Table:
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary())}).filter(pa.array([bool(x) for x in data]))
+
+
+def repeated_anchors(t: pa.Table) -> pa.Table:
+    """For each chunk, the hashes it sent that occur more than once in all."""
+    parts = [np.frombuffer(x.as_py(), dtype=U) for x in t.column("data")]
+    sizes = [len(p) for p in parts]
+    _, place = np.unique(np.concatenate(parts), return_inverse=True)
+    more = np.bincount(place, weights=1 + marks_of(t, sizes))[place] > 1
+    ends = np.cumsum(sizes)
+    return answer(t, [p[more[e - n : e]].tobytes() for p, n, e in zip(parts, sizes, ends, strict=True)])
+
+
+def same_words(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for each window of ids that starts there: the same if and only if all its words are."""
+    h = windows(ids.astype(U), WINDOW)[starts]
+    order = np.argsort(h, kind="stable")
+    p, q = starts[order[:-1]], starts[order[1:]]
+    like = h[order[:-1]] == h[order[1:]]
+    differ = np.zeros(len(p), dtype=bool)
+    for k in range(WINDOW):
+        differ |= ids[p + k] != ids[q + k]
+    out = np.empty(len(starts), dtype=np.int64)
+    out[order] = np.concatenate(([0], np.cumsum(~like)))
+    clash = like & differ
+    if clash.any():  # two sequences under one hash: name those by their words
+        names: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(h, h[order[:-1]][clash])).tolist():
+            out[i] = len(starts) + names.setdefault(ids[starts[i] : starts[i] + WINDOW].tobytes(), len(names))
+    return out
 
-    def meet(t):
-        parts = [np.frombuffer(x.as_py(), dtype=kind) for x in t.column("hashes")]
-        every = np.concatenate(parts)
-        distinct, place, count = np.unique(every, return_inverse=True, return_counts=True)
-        more = count[place] > 1
-        out, at = [], 0
-        for p in parts:
-            out.append(p[more[at : at + len(p)]].tobytes())
-            at += len(p)
-        return pa.table({"chunk": t.column("chunk"), "hashes": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out]))
 
-    return dealt.groupBy("bucket").applyInArrow(meet, "chunk int, hashes binary")
+def repeated_windows(t: pa.Table) -> pa.Table:
+    """For each chunk, a bit for each window of the texts it sent, in order: whether it occurs more than once in all."""
+    blobs = [x.as_py() for x in t.column("data")]
+    data = b"\n".join(blobs)
+    ids = pa.array(data.split(), pa.binary()).dictionary_encode().indices.to_numpy()
+    gaps = np.frombuffer(data, dtype=np.uint8)
+    gaps = gaps[(gaps == 32) | (gaps == 10)]
+    ends = np.append(np.flatnonzero(gaps == 10) + 1, len(ids))  # of the texts, in words
+    sizes = np.diff(ends, prepend=0)
+    starts = np.flatnonzero(np.arange(len(ids)) + WINDOW <= np.repeat(ends, sizes))
+    texts = [b.count(b"\n") + 1 for b in blobs]
+    weight = np.repeat(1 + marks_of(t, texts), sizes - WINDOW + 1)
+    name = np.unique(same_words(ids, starts), return_inverse=True)[1]
+    more = np.bincount(name, weights=weight)[name] > 1
+    upto = np.concatenate(([0], np.cumsum(sizes - WINDOW + 1)))[np.concatenate(([0], np.cumsum(texts)))]
+    return answer(t, [np.packbits(more[a:b]).tobytes() if more[a:b].any() else b"" for a, b in zip(upto[:-1], upto[1:], strict=True)])
 
 
-def gathered(t: pa.Table, kind) -> np.ndarray:
-    parts = [np.frombuffer(x.as_py(), dtype=kind) for x in t.column("hashes")]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=kind)
+def gathered(t: pa.Table) -> np.ndarray:
+    parts = [np.frombuffer(x.as_py(), dtype=U) for x in t.column("data")]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=U)
 
 
 def among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Which values are among some (sorted, distinct)."""
     if not len(some) or not len(values):
         return np.zeros(len(values), dtype=bool)
-    if not values.dtype.names:
-        return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
-    # 96 bits: the first 64 decide nearly always; equal first parts stand in a row
-    at = np.searchsorted(some["a"], values["a"])
-    found = np.zeros(len(values), dtype=bool)
-    left = np.arange(len(values))
-    while len(left):
-        ok = at[left] < len(some)
-        left = left[ok]
-        left = left[some["a"][at[left]] == values["a"][left]]
-        same = some["b"][at[left]] == values["b"][left]
-        found[left[same]] = True
-        left = left[~same]
-        at[left] += 1
-    return found
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
 
 
 def covered(n: int, starts: np.ndarray, before: int, after: int) -> np.ndarray:
@@ -127,6 +192,60 @@ def covered(n: int, starts: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+class Sent:
+    """The texts a chunk sends, in the one order that its rows give whatever order they come in."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.number: dict[bytes, int] = {}
+        self.route: list[int] = []
+        self.count: list[int] = []
+
+    def add(self, route: np.ndarray, texts: list[bytes]) -> list[int]:
+        """Numbers of the texts."""
+        out = []
+        for r, x in zip(((mix(route, 7) >> U(33)) % U(self.buckets)).tolist(), texts, strict=True):
+            i = self.number.setdefault(x, len(self.route))
+            if i == len(self.route):
+                self.route.append(r)
+                self.count.append(1)
+            else:
+                self.count[i] = 2
+            out.append(i)
+        return out
+
+    def order(self) -> tuple[list[bytes], list[int]]:
+        """The texts by bucket, then by their bytes, and the number of each."""
+        texts = sorted(self.number, key=lambda x: (self.route[self.number[x]], x))
+        return texts, [self.number[x] for x in texts]
+
+    def rows(self, chunk: int) -> pa.Table:
+        texts, numbers = self.order()
+        bucket = np.array([self.route[i] for i in numbers], dtype=np.int64)
+        return dealt(chunk, bucket, lambda a, b: b"\n".join(texts[a:b]), np.array([self.count[i] > 1 for i in numbers], dtype=bool))
+
+    def bits(self, answers: pa.Table) -> dict[int, np.ndarray]:
+        """By number of a text, whether each of its windows repeats."""
+        said = dict(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))
+        texts, numbers = self.order()
+        size = [x.count(b" ") + 2 - WINDOW for x in texts]
+        out, a = {}, 0
+        while a < len(texts):
+            b = a
+            while b < len(texts) and self.route[numbers[b]] == self.route[numbers[a]]:
+                b += 1
+            found = said.get(self.route[numbers[a]])
+            if found is not None:
+                total = sum(size[a:b])
+                if len(found) != (total + 7) // 8:
+                    raise RuntimeError("the rows of a chunk changed between two reads: give a table that is read the same each time")
+                flags = np.unpackbits(np.frombuffer(found, dtype=np.uint8), count=total).astype(bool)
+                for k, part in zip(numbers[a:b], np.split(flags, np.cumsum(size[a:b])[:-1]), strict=True):
+                    out[k] = part
+            a = b
+        return out
+
+
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row.
 
@@ -134,48 +253,72 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     words covers it whose word sequence also starts somewhere else, in the same text or another;
     windows are judged on the input. kept holds the other words, joined by one space. Null texts
     have no words; texts with fewer words than a window stay whole; repeated rows are repeats of
-    each other, whatever their ids; an empty table gives an empty result.
+    each other, whatever their ids; an empty table gives an empty result. Rows are dealt by their
+    position, so df must come in the same order whenever it is read, as files and checkpoints do.
     """
     spark = df.sparkSession
     prepare(spark)
     rows, size = text_bytes(df, text)
     width = shuffle_partitions(spark)
     chunks = max(width, -(-size // CHUNK_BYTES))
-    buckets = max(width, -(-size // 6 * 12 // BUCKET_BYTES))
+    buckets = max(width, -(-size // 6 * 2 // BUCKET_BYTES))  # 8 bytes for each fourth word
+    text_buckets = max(width, -(-size * 4 // BUCKET_BYTES))  # a text of 45 words for each 11 windows, where all repeats
     own = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    docs = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    docs = own.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int"))
 
     def send_anchors(key, t):
-        return deal(key[0].as_py(), twice(Chunk(t.column("text")).anchors()[1]), buckets)
-
-    def send_windows(key, t, known):
-        if not known.num_rows or not t.num_rows:
-            return deal(0, np.zeros(0, dtype=WHOLE), buckets)
-        c = Chunk(t.column("text"))
-        at, h = c.anchors()
-        at = at[among(h, gathered(known, U))]
-        starts = c.window_starts()
-        starts = starts[covered(len(c.words), at, PERIOD - 1, 1)[starts]]
-        return deal(key[0].as_py(), twice(c.whole(starts)), buckets)
+        distinct, several = merged([np.repeat(*both) for both in (part_counts(Words(s).anchors()[1]) for s in slices(t.column("text")))])
+        bucket = ((mix(distinct, 7) >> U(33)) % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        values = distinct[order]
+        return dealt(key[0].as_py(), bucket[order], lambda a, b: values[a:b].tobytes(), several[order])
+
+    def send_texts(key, t, known):
+        sent = Sent(text_buckets)
+        if known.num_rows:
+            anchors = gathered(known)
+            for s in slices(t.column("text")):
+                _, _, route, texts = Words(s).extended(anchors)
+                sent.add(route, texts)
+        return sent.rows(key[0].as_py() if t.num_rows else 0)
 
     def cut(key, t, known):
-        c = Chunk(t.column("text"))
-        starts = c.window_starts()
-        starts = starts[among(c.whole(starts), gathered(known, WHOLE))] if known.num_rows else starts[:0]
-        gone = covered(len(c.words), starts, 0, WINDOW)
-        removed, kept = [], []
-        for words, a, b in zip(c.docs, c.start[:-1].tolist(), c.start[1:].tolist(), strict=True):
-            out = gone[a:b]
-            n = int(out.sum())
-            removed.append(n)
-            kept.append(b" ".join([words[i] for i in np.flatnonzero(~out).tolist()] if n else words).decode())
-        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(c.n), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
-
-    anchors = repeated(docs.groupBy("chunk").applyInArrow(send_anchors, DEALT), U)
-    both = docs.groupBy("chunk").cogroup(anchors.groupBy("chunk"))
-    whole = repeated(both.applyInArrow(send_windows, DEALT), WHOLE)
+        """known: repeated anchors (bucket -1) and answers to the texts."""
+        told = np.array(known.column("kind").to_pylist(), dtype=bool)
+        anchors, answers = known.filter(pa.array(~told)), known.filter(pa.array(told))
+        sent, held = Sent(text_buckets), []
+        if answers.num_rows:
+            near = gathered(anchors)
+            for s in slices(t.column("text")):
+                first, count, route, texts = Words(s).extended(near)
+                held.append((first, count, sent.add(route, texts)))
+        bits = sent.bits(answers) if held else {}
+        n_words, removed, kept = [], [], []
+        for i, s in enumerate(slices(t.column("text"))):
+            docs = [split(x) for x in s]
+            ends = np.cumsum([len(d) for d in docs])
+            starts = [f + np.flatnonzero(bits[k]) for f, _, k in zip(*held[i], strict=True) if k in bits] if held else []
+            gone = covered(int(ends[-1]), np.concatenate(starts), 0, WINDOW) if starts else None
+            for words, b in zip(docs, ends.tolist(), strict=True):
+                out = gone[b - len(words) : b] if gone is not None else None
+                n = int(out.sum()) if out is not None else 0
+                n_words.append(len(words))
+                removed.append(n)
+                kept.append(b" ".join([words[j] for j in np.flatnonzero(~out).tolist()] if n else words).decode())
+        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+
+    anchors = docs.groupBy("chunk").applyInArrow(send_anchors, DEALT).groupBy("bucket").applyInArrow(repeated_anchors, ANSWER)
+    texts = docs.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(send_texts, DEALT)
+    answers = texts.groupBy("bucket").applyInArrow(repeated_windows, ANSWER)
+    known = anchors.withColumn("kind", F.lit(False)).union(answers.withColumn("kind", F.lit(True)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.groupBy("chunk").cogroup(whole.groupBy("chunk")).applyInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
+
+
+def part_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and 1 or 2 for each: whether it occurs again."""
+    distinct, count = np.unique(values, return_counts=True)
+    return distinct, np.minimum(count, 2)
 
 
 def op7_substrings(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Vectorised hashing of words and word windows, on NumPy arrays.
 
-All arithmetic is modulo 2**64. A word's value is a polynomial over its bytes and a window's
-one over its words; both come from prefix sums, so that a window of any length costs the same.
+All arithmetic is modulo 2**64. A window's value is a polynomial over the hashes of its words,
+from prefix sums, so that a window of any length costs the same. XXH64 hashes byte strings.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ def _splitmix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-BYTE_VALUES = np.array([_splitmix(1000 + i) for i in range(256)], dtype=U)
-BASE = _splitmix(1) | 1
 WINDOW_BASES = (_splitmix(2) | 1, _splitmix(3) | 1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -60,29 +58,6 @@ def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray)
     return (total[ends] - total[starts]) * powers(base, n + 1)[starts]
 
 
-def word_hashes(docs: list[list[bytes]], slice_bytes: int = 1 << 20) -> np.ndarray:
-    """One 64-bit value per word, of all documents after each other."""
-    out, held, size = [], [], 0
-
-    def flush():
-        if held:
-            buf = np.frombuffer(b" ".join(held) + b" ", dtype=np.uint8)
-            ends = np.flatnonzero(buf == 32)
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            out.append(mix(_ranges(BYTE_VALUES[buf], BASE, starts, ends)))
-
-    for words in docs:
-        if words:
-            joined = b" ".join(words)
-            held.append(joined)
-            size += len(joined)
-            if size >= slice_bytes:
-                flush()
-                held, size = [], 0
-    flush()
-    return np.concatenate(out) if out else np.zeros(0, dtype=U)
-
-
 def windows(words: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """One 64-bit value per window of `length` words; windows across documents included."""
     n = len(words) - length + 1
