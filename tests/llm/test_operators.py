@@ -211,7 +211,7 @@ def test_secrets(spark, docs, empty, tmp_path):
 def secrets_of(spark, texts):
     """Texts of the added spans, and the redacted text, of each text."""
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    added = {r.id: [texts[r.id][a:b] for a, _, b in r.added] for r in secrets.scan(df, whole=True).collect()}
+    added = {r.id: [texts[r.id][a:b] for a, _, b in r.added] for r in secrets.scan(df).collect()}
     clean = {r.id: r.text for r in secrets.redact(df).collect()}
     return [(added[i], clean[i]) for i in range(len(texts))]
 
@@ -233,6 +233,28 @@ def test_secrets_base_spans_leave_the_rest(spark):
     assert [c for _, c in got] == ["[secret]", "a [secret] b", "[secret]", "[secret]", "[secret] [secret]"]
 
 
+def test_secrets_long_texts(spark):
+    """A run of a million characters, and a hundred thousand matches, each in one text, in seconds."""
+    import time
+
+    r = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    dull = "ab1-cd2-" * 125_000
+    texts = ["".join(r.choices(letters, k=1_000_000)), dull, dull + "".join(r.choices(letters, k=30)), " ".join(f"{r.getrandbits(64):016x}" for _ in range(100_000)), " ".join("".join(r.choices(letters, k=24)) + str(i % 10) for i in range(100_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(5).cache()
+    assert df.count() == 5
+    began = time.time()
+    got = {x.id: (x.b, x.a, x.n) for x in secrets.scan(df).selectExpr("id", "size(base) AS b", "size(added) AS a", "coalesce(get(added, 0).end, 0) AS n").collect()}
+    clean = {x.id: x.text for x in secrets.redact(df).collect()}
+    assert time.time() - began < 90
+    assert got[0] == (0, 1, 1_000_000) and got[1] == (0, 0, 0) and got[2] == (0, 1, len(texts[2])) and got[3][0] == 100_000
+    assert got[4][1] > 90_000 and clean[0] == clean[2] == "[secret]" and clean[1] == dull and clean[3] == " ".join(["[secret]"] * 100_000)
+    base, added = secrets.brute_force(texts[4])
+    assert (len(base), len(added)) == got[4][:2]
+    for a, _, b in sorted(base + added, reverse=True)[:200]:
+        assert texts[4][a:b] not in clean[4]
+
+
 def test_topk(spark):
     r = random.Random(2)
     rows = [(i, [r.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(4)]) for i in range(420)] + [(1000, None), (1001, [None, 1.0, 0.0, 0.0]), (1002, [float("nan")] * 4), (1100, [float("inf")] * 4), (None, [1.0] * 4)]

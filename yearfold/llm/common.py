@@ -30,6 +30,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_ARROW_BATCH))
 
 
+def private(df: DataFrame) -> str:
+    """A prefix that no column of df has, in any case, for columns of an operator's own."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
 def text_bytes(df: DataFrame, col: str) -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column: two numbers, from one scan of that column."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(col)))).first()
