@@ -132,8 +132,11 @@ def test_substrings_words_decide_where_hashes_clash(monkeypatch):
     assert len(set(names)) == len(set(words)) == len(set(zip(names, words, strict=True))) < len(starts)
 
 
-def test_substrings_at_random(spark, monkeypatch):
+@pytest.mark.parametrize("group", [substrings.GROUP, 2])
+def test_substrings_at_random(spark, monkeypatch, group):
     monkeypatch.setattr(substrings, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(substrings, "GROUP", group)
     r = random.Random(11)
     shared = [passage(200 + i, r.randint(30, 90)) for i in range(6)] + ["so it goes " * 40, "x " * 300]
     texts = []

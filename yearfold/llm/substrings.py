@@ -10,6 +10,7 @@ that have the same least anchor inside. Hashes only bring windows together; word
 
 Texts are dealt to bounded chunks by row position. A chunk sends a hash or a text once, marked
 if it holds it several times, so frequent passages do not pile up; buckets are bounded, too.
+Beyond GROUP chunks, what goes to a bucket is first merged over GROUP chunks each.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ WINDOW, PERIOD = 35, 21
 COVER = (3, 6, 7, 12, 14)
 ANCHOR = WINDOW - PERIOD + 1
 CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 32 << 20, 4 << 20, 16 << 20
+GROUP = 1 << 14
 U = np.uint64
 
 
@@ -125,9 +127,13 @@ def answer(t: pa.Table, data: list[bytes]) -> pa.Table:
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "data": pa.array(data, pa.binary())}).filter(pa.array([bool(x) for x in data]))
 
 
+def anchors_in(t: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), dtype=U) for x in t.column("data")]
+
+
 def repeated_anchors(t: pa.Table) -> pa.Table:
     """For each chunk, the hashes it sent that occur more than once in all."""
-    parts = [np.frombuffer(x.as_py(), dtype=U) for x in t.column("data")]
+    parts = anchors_in(t)
     sizes = [len(p) for p in parts]
     _, place = np.unique(np.concatenate(parts), return_inverse=True)
     more = np.bincount(place, weights=1 + marks_of(t, sizes))[place] > 1
@@ -135,6 +141,20 @@ def repeated_anchors(t: pa.Table) -> pa.Table:
     return answer(t, [p[more[e - n : e]].tobytes() for p, n, e in zip(parts, sizes, ends, strict=True)])
 
 
+def merged_anchors(key, t):
+    """What chunks of one group sent to a bucket, as if the group were one chunk."""
+    parts = anchors_in(t)
+    distinct, place = np.unique(np.concatenate(parts), return_inverse=True)
+    several = np.bincount(place, weights=1 + marks_of(t, [len(p) for p in parts])) > 1
+    return dealt(key[1].as_py(), np.full(len(distinct), key[0].as_py()), lambda a, b: distinct[a:b].tobytes(), several)
+
+
+def anchors_told(key, t, said):
+    """The group's answer, for each of its chunks."""
+    known = gathered(said)
+    return answer(t, [p[among(p, known)].tobytes() for p in anchors_in(t)])
+
+
 def same_words(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A number for each window of ids that starts there: the same if and only if all its words are."""
     h = windows(ids.astype(U), WINDOW)[starts]
@@ -172,6 +192,38 @@ def repeated_windows(t: pa.Table) -> pa.Table:
     return answer(t, [np.packbits(more[a:b]).tobytes() if more[a:b].any() else b"" for a, b in zip(upto[:-1], upto[1:], strict=True)])
 
 
+def merged_texts(key, t):
+    """What chunks of one group sent to a bucket, as if the group were one chunk."""
+    parts = [x.as_py().split(b"\n") for x in t.column("data")]
+    count: dict[bytes, int] = {}
+    for x, more in zip((x for p in parts for x in p), marks_of(t, [len(p) for p in parts]).tolist(), strict=True):
+        count[x] = count.get(x, 0) + 1 + more
+    texts = sorted(count)
+    return dealt(key[1].as_py(), np.full(len(texts), key[0].as_py()), lambda a, b: b"\n".join(texts[a:b]), np.array([count[x] > 1 for x in texts]))
+
+
+def texts_told(key, t, said):
+    """The group's answer, for each of its chunks."""
+    if not said.num_rows or not t.num_rows:
+        return answer(t, [b""] * t.num_rows)
+    parts = [x.as_py().split(b"\n") for x in t.column("data")]
+    texts = sorted({x for p in parts for x in p})
+    size = [x.count(b" ") + 2 - WINDOW for x in texts]
+    flags = np.unpackbits(np.frombuffer(said.column("data")[0].as_py(), dtype=np.uint8), count=sum(size))
+    own = dict(zip(texts, np.split(flags, np.cumsum(size)[:-1]), strict=True))
+    every = [np.concatenate([own[x] for x in p]) for p in parts]
+    return answer(t, [np.packbits(x).tobytes() if x.any() else b"" for x in every])
+
+
+def repeated(sent: DataFrame, chunks: int, find, merge, told) -> DataFrame:
+    """The answers to what chunks sent: by bucket, or first by groups of chunks, which then stand for theirs."""
+    if chunks <= GROUP:
+        return sent.groupBy("bucket").applyInArrow(find, ANSWER)
+    grouped = sent.withColumn("part", F.col("chunk") % (-(-chunks // GROUP)))
+    said = grouped.groupBy("bucket", "part").applyInArrow(merge, DEALT).groupBy("bucket").applyInArrow(find, ANSWER)
+    return grouped.groupBy("bucket", "part").cogroup(said.withColumnRenamed("chunk", "part").groupBy("bucket", "part")).applyInArrow(told, ANSWER)
+
+
 def gathered(t: pa.Table) -> np.ndarray:
     parts = [np.frombuffer(x.as_py(), dtype=U) for x in t.column("data")]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=U)
@@ -307,9 +359,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 kept.append(b" ".join([words[j] for j in np.flatnonzero(~out).tolist()] if n else words).decode())
         return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    anchors = docs.groupBy("chunk").applyInArrow(send_anchors, DEALT).groupBy("bucket").applyInArrow(repeated_anchors, ANSWER)
+    anchors = repeated(docs.groupBy("chunk").applyInArrow(send_anchors, DEALT), chunks, repeated_anchors, merged_anchors, anchors_told)
     texts = docs.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(send_texts, DEALT)
-    answers = texts.groupBy("bucket").applyInArrow(repeated_windows, ANSWER)
+    answers = repeated(texts, chunks, repeated_windows, merged_texts, texts_told)
     known = anchors.withColumn("kind", F.lit(False)).union(answers.withColumn("kind", F.lit(True)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
