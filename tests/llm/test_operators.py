@@ -52,6 +52,51 @@ def test_bpe_words():
         assert list(m.encode(s)) == t.encode(s, add_special_tokens=False).ids
 
 
+def test_bpe_automaton_accepts_one_path(monkeypatch):
+    """Over a small vocabulary: of all token sequences that spell a word, the automaton has one, which merging in order gives; also with a table of few states."""
+    import itertools
+    import json
+
+    monkeypatch.setattr(bpe, "TABLE_STATES", 5)
+    r = random.Random(12)
+    for _ in range(30):
+        vocab, merges = {c: i for i, c in enumerate("abc")}, []
+        while len(merges) < 12:
+            u, v = r.choice(list(vocab)), r.choice(list(vocab))
+            if u + v not in vocab:
+                vocab[u + v] = len(vocab)
+                merges.append([u, v])
+        m = bpe.MergeAutomaton(json.dumps({"model": {"type": "BPE", "vocab": vocab, "merges": merges}, "pre_tokenizer": {"type": "ByteLevel"}, "normalizer": None, "added_tokens": []}))
+        rank = {(vocab[u], vocab[v]): k for k, (u, v) in enumerate(merges)}
+        for word in map("".join, itertools.chain(itertools.product("abc", repeat=5), (r.choices("abc", k=40) for _ in range(20)))):
+            want = [vocab[c] for c in word]
+            while pairs := [(rank[p], i) for i, p in enumerate(itertools.pairwise(want)) if p in rank]:
+                low = min(pairs)[0]
+                i = next(i for k, i in pairs if k == low)
+                want[i : i + 2] = [vocab["".join(merges[low])]]
+            assert list(m.path(word.encode())) == want
+            ways = [[]] if len(word) <= 5 else None
+            if ways is not None:
+                full = []
+                while ways:
+                    w = ways.pop()
+                    at = sum(len(m.labels[t]) for t in w)
+                    if at == len(word):
+                        full.append(w)
+                    ways += [[*w, t] for s, t in vocab.items() if word.startswith(s, at) and (m.copy_of[t] >= 0 or len(s) == 1) and (not w or m.arc(w[-1], t, bpe.NEVER))]
+                assert full == [want]
+
+
+def test_bpe_long_words():
+    from tokenizers import Tokenizer
+
+    with open(bpe.default_path()) as f:
+        m = bpe.MergeAutomaton(f.read())
+    t, r = Tokenizer.from_file(bpe.default_path()), random.Random(1)
+    for s in ("a" * 50_000, "".join(r.choices("abcdefgh", k=80_000)), "é" * 3000 + " " * 4000 + "1" * 5000):
+        assert list(m.encode(s)) == t.encode(s, add_special_tokens=False).ids
+
+
 def test_simhash(docs, empty):
     want = simhash.brute_force(list(enumerate(TEXTS)))
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == sorted(want)

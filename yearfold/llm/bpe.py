@@ -1,14 +1,19 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The merges are compiled, in order, into a deterministic automaton over tokens. It starts as
-one state with a loop for every byte. Each merge (u, v) -> w is a gadget: wherever u leads to
-a state with an arc v, an arc w is added that goes where v went, and the arc u is led to a
-copy of its target without v. All arcs with one label always lead to one state, so a state
-is named by the label that leads to it, and the gadgets need not be written out: whether the
-state of t has an arc x follows from when t and x were made and from the states of their
-halves (``MergeAutomaton.blocked``), and each looked-up entry stays in the transition table.
-The automaton accepts exactly one token sequence for any bytes, the BPE one; encoding follows
-it from left to right, and decoding emits the labels of the arcs taken.
+The merges are compiled, in order, into a deterministic automaton over tokens. It starts as one
+state with a loop for every byte. Each merge (u, v) -> w adds a gadget: wherever u leads to a
+state with an arc v, an arc w is added that goes where v went, and the arc u is led to a copy
+of its target without v. All arcs with one label always lead to one state, so a state is named by
+the label that leads to it, and a gadget is three edits: the state of u loses v, the state of w is
+that of v as it is then, and w stands where u stands then. States and arcs thus hold what differs
+from what they were copied from, and the copy's source and time (``MergeAutomaton.gadget``).
+
+The result accepts exactly one token sequence for any bytes, the BPE one. For encoding, its arcs
+are spelled in bytes along a trie of labels, and that is made deterministic by subsets: a state is
+the last token of what was read, and the tokens begun but not ended, each with the token before it.
+Words run through the table of these transitions, one look-up a byte; each state names the token
+that ends there, so the tokens are read off from the end. A table entry is worked out when first
+met, and the table starts afresh when full. Decoding emits the labels of the arcs taken.
 """
 
 from __future__ import annotations
@@ -25,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import prepare, private, table
 
 NEVER = 1 << 40
-CACHE_ENTRIES = 1 << 19
+CACHE_ENTRIES, TABLE_STATES = 1 << 19, 1 << 17
 
 # The pre-tokenizer pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -58,7 +63,6 @@ class MergeAutomaton:
         back = {v: k for k, v in byte_letters().items()}
         vocab = flags["vocab"]
         self.labels = [b""] * (max([*vocab.values(), *(a["id"] for a in model["added_tokens"])]) + 1)
-        self.ids: dict[bytes, int] = {}
         special = {a["content"]: a["id"] for a in model["added_tokens"]}
         for content, i in special.items():
             self.labels[i] = content.encode()
@@ -69,87 +73,110 @@ class MergeAutomaton:
                 named[s] = i
         self.special = special
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.born = [0] * len(self.labels)
-        self.halves: list[tuple[int, int] | None] = [None] * len(self.labels)
-        self.rank: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], int] = {}
-        alive = [False] * len(self.labels)
-        for i in named.values():
-            if len(self.labels[i]) == 1:
-                self.ids[self.labels[i]] = i
-                alive[i] = True
-        made = []
+        # The automaton over tokens, by label: when made, what its state is a copy of, beside what its arcs stand.
+        self.made = [0] * len(self.labels)
+        self.copy_of: list[int] = [-1] * len(self.labels)
+        self.beside: list[int] = [-1] * len(self.labels)
+        self.lost: dict[tuple[int, int], int] = {}
+        self.known: dict[tuple[int, int], bool] = {}
+        arcs = {i for i in named.values() if len(self.labels[i]) == 1}
         for r, pair in enumerate(flags["merges"], 1):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
-            a, b, w = named[u], named[v], named[u + v]
-            made.append(w)
-            if self.halves[w] is not None:
-                raise ValueError("two merges make one token")
-            self.rank[a, b] = r
-            self.halves[w], self.born[w] = (a, b), r
-        for (a, b), r in self.rank.items():
-            w = made[r - 1]
-            if alive[a] and alive[b] and self.blocked(a, b) >= r:
-                alive[w] = True
-                self.ids[self.labels[w]] = w
-        self.longest = max(map(len, self.ids), default=1)
+            self.gadget(r, named[u], named[v], named[u + v], arcs)
+        # The same spelled in bytes: a trie of the labels, and the table of subsets.
+        self.child: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        self.inner: list[bool] = [False]
+        for t in sorted(arcs):
+            node = 0
+            for byte in self.labels[t]:
+                self.inner[node] = True
+                if (key := node << 8 | byte) not in self.child:
+                    self.child[key] = len(self.ends)
+                    self.ends.append(-1)
+                    self.inner.append(False)
+                node = self.child[key]
+            self.ends[node] = t
+        self.afresh()
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
-    def blocked(self, t: int, x: int) -> int:
-        """When the state of t loses the arc x: 0 if it never has it, NEVER if it keeps it."""
-        found = self.table.get((t, x))
-        if found is not None:
-            return found
-        a, b = self.born[t], self.born[x]
-        if a == b == 0:
-            there = True
-        elif b > a:  # x was made later: t has the arc if it had that to the first half of x
-            there = self.blocked(t, self.halves[x][0]) > b
-        elif a > b:  # the state of t is that of its second half, as it was then
-            there = self.blocked(self.halves[t][1], x) >= a
-        else:
-            there = self.blocked(self.halves[t][1], self.halves[t][0]) >= a
-        when = self.rank.get((t, x), NEVER) if there else 0
-        if len(self.table) > 8 * CACHE_ENTRIES:
-            self.table.clear()
-        self.table[t, x] = when
-        return when
+    def gadget(self, r: int, u: int, v: int, w: int, arcs: set[int]) -> None:
+        """Merge number r, of u and v into w. Where no u leads to a state with an arc v, nothing is to be done."""
+        if w in arcs:
+            raise ValueError("two merges make one token")
+        if u in arcs and v in arcs and self.arc(u, v, r):
+            self.lost[u, v] = r
+            self.made[w], self.copy_of[w], self.beside[w] = r, v, u
+            arcs.add(w)
+
+    def arc(self, t: int, x: int, at: int) -> bool:
+        """Whether the state of t has the arc x at that time, before gadget number `at` takes any away."""
+        return self.lost.get((t, x), NEVER) >= at and self.given(t, x)
+
+    def given(self, t: int, x: int) -> bool:
+        """Whether the state of t got the arc x, when the later of the two was made."""
+        found = self.known.get((t, x))
+        if found is None:
+            a, b = self.made[t], self.made[x]
+            if a == b == 0:
+                found = True
+            elif b > a:  # x came to states that had, and kept, the arc beside which it stands
+                found = self.arc(t, self.beside[x], b + 1)
+            elif a > b:  # the state of t is a copy
+                found = self.arc(self.copy_of[t], x, a)
+            else:
+                found = self.arc(self.copy_of[t], self.beside[t], a)
+            if len(self.known) > 4 * CACHE_ENTRIES:
+                self.known.clear()
+            self.known[t, x] = found
+        return found
+
+    def afresh(self) -> None:
+        """An empty table with the first state: no token read, none begun."""
+        self.numbers: dict[tuple, int] = {(-1, ()): 0}
+        self.subsets: list[tuple] = [(-1, ())]
+        self.last: list[int] = [-1]
+        self.table: dict[int, int] = {}
+
+    def transition(self, state: int, byte: int) -> int:
+        """The table's entry, worked out: each begun token takes the byte, and one of them, which may follow the token before it, ends."""
+        token, begun = self.subsets[state]
+        ended, still = -1, []
+        for before, node in (*begun, (token, 0)):
+            node = self.child.get(node << 8 | byte, -1)
+            if node >= 0:
+                x = self.ends[node]
+                if ended < 0 <= x and (before < 0 or self.arc(before, x, NEVER)):
+                    ended = x
+                if self.inner[node]:
+                    still.append((before, node))
+        if ended < 0:
+            raise ValueError(f"the vocabulary cannot spell byte {byte}")
+        subset = (ended, tuple(still))
+        if len(self.subsets) > TABLE_STATES:
+            self.afresh()
+            state = -1
+        to = self.numbers.setdefault(subset, len(self.subsets))
+        if to == len(self.subsets):
+            self.subsets.append(subset)
+            self.last.append(ended)
+        if state >= 0:
+            self.table[state << 8 | byte] = to
+        return to
 
     def path(self, data: bytes) -> tuple[int, ...]:
-        """The labels of the one path that spells the bytes.
-
-        The longest arc goes first. Every prefix has one path only, so a position that leads
-        nowhere is dead for good and is not entered again.
-        """
-        ids, arcs, n, longest = self.ids, self.table, len(data), self.longest
-        out: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        pos, limit, t = 0, n, -1
-        while pos < n:
-            end = min(limit, pos + longest)
-            while end > pos:
-                x = ids.get(data[pos:end])
-                if x is not None and (not dead or end not in dead):
-                    if t < 0:
-                        break
-                    when = arcs.get((t, x))
-                    if (self.blocked(t, x) if when is None else when) == NEVER:
-                        break
-                end -= 1
-            if end > pos:
-                out.append(x)
-                starts.append(pos)
-                pos, limit, t = end, n, x
-            elif out:
-                dead.add(pos)
-                limit, pos = pos - 1, starts.pop()
-                out.pop()
-                t = out[-1] if out else -1
-            else:
-                raise ValueError(f"the vocabulary cannot spell {data!r}")
-        return tuple(out)
+        """The labels of the one path that spells the bytes."""
+        state, lasts = 0, []
+        for byte in data:
+            to = self.table.get(state << 8 | byte)
+            state = self.transition(state, byte) if to is None else to
+            lasts.append(self.last[state])
+        out, at = [], len(data)
+        while at:
+            out.append(lasts[at - 1])
+            at -= len(self.labels[out[-1]])
+        return tuple(reversed(out))
 
     def _word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)
@@ -216,7 +243,7 @@ def default_path() -> str:
 def encode_decode(df: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens (long), ids (binary: little-endian unsigned 32-bit integers) and decoded (string).
 
-    keep: columns to carry along, all by default. Columns of the three new names are replaced.
+    keep: columns to carry along, all by default. Columns of the three new names, in any case, are replaced.
     A null text counts as empty: no tokens, empty ids, empty decoded. Rows are handled one by
     one, so repeated rows stay repeated and empty tables stay empty. The vocabulary file is read
     once, on the driver; its content (one file, 1.5 MB here) goes to the tasks.
@@ -225,8 +252,8 @@ def encode_decode(df: DataFrame, path: str | None = None, text: str = "text", ke
     with open(path or default_path(), encoding="utf-8") as f:
         spec = f.read()
     new = ["n_tokens", "ids", "decoded"]
-    kept = [c for c in (keep if keep is not None else df.columns) if c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    kept = [c for c in (keep if keep is not None else df.columns) if c.lower() not in new]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(private(df) + "text"))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches):
@@ -244,6 +271,7 @@ def encode_decode(df: DataFrame, path: str | None = None, text: str = "text", ke
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of documents, and digests of the ids and of the decoded text. Null texts count as empty; see encode_decode."""
     out = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
