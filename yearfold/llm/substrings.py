@@ -27,7 +27,7 @@ from .wordhash import mix, windows
 WINDOW, PERIOD = 35, 21
 COVER = (3, 6, 7, 12, 14)
 ANCHOR = WINDOW - PERIOD + 1
-CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 32 << 20, 4 << 20, 16 << 20
+CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20, 16 << 20
 GROUP = 1 << 14
 U = np.uint64
 
