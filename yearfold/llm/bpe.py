@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from array import array
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from .common import prepare, private, table
 
 NEVER = 1 << 40
-CACHE_ENTRIES, TABLE_STATES = 1 << 19, 1 << 17
+CACHE_ENTRIES, TABLE_STATES, WIDTH, NODE, LONG_WORD = 1 << 19, 1 << 17, 64, 24, 1 << 14
 
 # The pre-tokenizer pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -79,6 +81,7 @@ class MergeAutomaton:
         self.beside: list[int] = [-1] * len(self.labels)
         self.lost: dict[tuple[int, int], int] = {}
         self.known: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         arcs = {i for i in named.values() if len(self.labels[i]) == 1}
         for r, pair in enumerate(flags["merges"], 1):
             u, v = pair if isinstance(pair, list) else pair.split(" ")
@@ -97,9 +100,12 @@ class MergeAutomaton:
                     self.inner.append(False)
                 node = self.child[key]
             self.ends[node] = t
+        self.sizes = [len(x) for x in self.labels]
+        often = Counter(byte for t in arcs for byte in self.labels[t]).most_common(WIDTH - 1)
+        self.column = bytes(next((i for i, (byte, _) in enumerate(sorted(often)) if byte == b), WIDTH - 1) for b in range(256))
         self.afresh()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def gadget(self, r: int, u: int, v: int, w: int, arcs: set[int]) -> None:
         """Merge number r, of u and v into w. Where no u leads to a state with an arc v, nothing is to be done."""
@@ -133,100 +139,118 @@ class MergeAutomaton:
         return found
 
     def afresh(self) -> None:
-        """An empty table with the first state: no token read, none begun."""
-        self.numbers: dict[tuple, int] = {(-1, ()): 0}
-        self.subsets: list[tuple] = [(-1, ())]
-        self.last: list[int] = [-1]
-        self.table: dict[int, int] = {}
-
-    def transition(self, state: int, byte: int) -> int:
-        """The table's entry, worked out: each begun token takes the byte, and one of them, which may follow the token before it, ends."""
-        token, begun = self.subsets[state]
-        ended, still = -1, []
-        for before, node in (*begun, (token, 0)):
-            node = self.child.get(node << 8 | byte, -1)
-            if node >= 0:
-                x = self.ends[node]
-                if ended < 0 <= x and (before < 0 or self.arc(before, x, NEVER)):
-                    ended = x
-                if self.inner[node]:
-                    still.append((before, node))
+        """A table with the first state alone: no token read, none begun. Rows have a column for each frequent byte; the last one stays empty."""
+        self.subsets: list[tuple[int, ...]] = [(0,)]
+        self.numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        self.last = array("i", [-1])
+        self.table = array("i", [-1] * WIDTH)
+        self.rare: dict[int, int] = {}
+
+    def follow(self, subset: tuple[int, ...], byte: int) -> tuple[int, ...]:
+        """The subset after a byte: each begun token takes it, and one of them, which may follow the token before it, ends.
+
+        A member is a token's number plus one, and the place in the trie behind it, in the low NODE
+        bits; the last member is the last token, with nothing begun behind it yet.
+        """
+        child, ends, inner, arcs, low = self.child, self.ends, self.inner, self.arcs, (1 << NODE) - 1
+        ended, after = -1, []
+        for member in subset:
+            node = child.get((member & low) << 8 | byte)
+            if node is not None:
+                x = ends[node]
+                if ended < 0 <= x:
+                    key = member >> NODE << NODE | x
+                    may = arcs.get(key)
+                    if may is None:
+                        if len(arcs) > 4 * CACHE_ENTRIES:
+                            arcs.clear()
+                        may = arcs[key] = member <= low or self.arc((member >> NODE) - 1, x, NEVER)
+                    if may:
+                        ended = x
+                if inner[node]:
+                    after.append(member >> NODE << NODE | node)
         if ended < 0:
             raise ValueError(f"the vocabulary cannot spell byte {byte}")
-        subset = (ended, tuple(still))
-        if len(self.subsets) > TABLE_STATES:
-            self.afresh()
-            state = -1
-        to = self.numbers.setdefault(subset, len(self.subsets))
-        if to == len(self.subsets):
-            self.subsets.append(subset)
-            self.last.append(ended)
-        if state >= 0:
-            self.table[state << 8 | byte] = to
+        after.append(ended + 1 << NODE)
+        return tuple(after)
+
+    def entry(self, row: int, byte: int) -> int:
+        """The row that the byte leads to from a row whose column for it is empty; worked out when first met."""
+        column = self.column[byte]
+        to = self.rare.get(row << 8 | byte, -1) if column == WIDTH - 1 else -1
+        if to < 0:
+            subset = self.follow(self.subsets[row // WIDTH], byte)
+            to = self.numbers.setdefault(subset, len(self.subsets) * WIDTH)
+            if to == len(self.table):
+                self.subsets.append(subset)
+                self.last.append((subset[-1] >> NODE) - 1)
+                self.table.extend([-1] * WIDTH)
+            if column == WIDTH - 1:
+                self.rare[row << 8 | byte] = to
+            else:
+                self.table[row + column] = to
         return to
 
-    def path(self, data: bytes) -> tuple[int, ...]:
-        """The labels of the one path that spells the bytes."""
-        state, lasts = 0, []
-        for byte in data:
-            to = self.table.get(state << 8 | byte)
-            state = self.transition(state, byte) if to is None else to
-            lasts.append(self.last[state])
-        out, at = [], len(data)
+    def path(self, data: bytes) -> list[int]:
+        """The labels of the one path that spells the bytes: the token that ends at each byte, read off from the last."""
+        if len(data) > LONG_WORD:  # its states are not kept
+            subset, ends = self.subsets[0], []
+            for byte in data:
+                subset = self.follow(subset, byte)
+                ends.append((subset[-1] >> NODE) - 1)
+        else:
+            if len(self.subsets) > TABLE_STATES:
+                self.afresh()
+            table, row, ends = self.table, 0, []
+            for column in data.translate(self.column):
+                to = table[row + column]
+                if to < 0:
+                    to = self.entry(row, data[len(ends)])
+                ends.append(row := to)
+        out, at, sizes, last = [], len(data), self.sizes, self.last
         while at:
-            out.append(lasts[at - 1])
-            at -= len(self.labels[out[-1]])
-        return tuple(reversed(out))
+            token = ends[at - 1] if len(data) > LONG_WORD else last[ends[at - 1] // WIDTH]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = self.path(word.encode())
+            path = self.path(word.encode())
+            found = struct.pack(f"<{len(path)}I", *path)
             if len(word) <= 64:
                 if len(self.words) >= CACHE_ENTRIES:
                     self.words.clear()
                 self.words[word] = found
         return found
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """Of a blank and what follows it up to the next one."""
-        found: tuple[int, ...] = ()
-        for word in PLAIN_SPLIT.findall(piece):
-            found += self._word(word)
+    def _piece(self, piece: str) -> bytes:
+        """Of a blank and this piece, which reaches to the next blank."""
+        found = b"".join(map(self._word, PLAIN_SPLIT.findall(" " + piece)))
         if len(piece) <= 64:
             if len(self.pieces) >= CACHE_ENTRIES:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found
 
-    def _ordinary(self, text: str, out: array) -> None:
+    def _ordinary(self, text: str) -> bytes:
         if PLAIN.fullmatch(text) and not RUN.search(text):
             known, find = self.pieces.get, self._piece
             head, *rest = text.split(" ")
-            if head:
-                out.extend(known(head) or find(head))
-            for p in rest:
-                p = " " + p
-                out.extend(known(p) or find(p))
-        else:
-            for word in SPLIT.findall(text):
-                out.extend(self._word(word))
+            return b"".join([*map(self._word, PLAIN_SPLIT.findall(head)), *[known(p) or find(p) for p in rest]])
+        return b"".join(map(self._word, SPLIT.findall(text)))
 
-    def encode(self, text: str) -> array:
-        """Token ids, as unsigned 32-bit integers; special tokens' strings in the text become those tokens."""
-        out = array("I")
+    def encode(self, text: str) -> bytes:
+        """Token ids, as little-endian unsigned 32-bit integers; special tokens' strings in the text become those tokens."""
         if self.special_split and any(s in text for s in self.special):
-            for k, part in enumerate(self.special_split.split(text)):
-                if k % 2:
-                    out.append(self.special[part])
-                elif part:
-                    self._ordinary(part, out)
-        else:
-            self._ordinary(text, out)
-        return out
+            parts = self.special_split.split(text)
+            return b"".join(struct.pack("<I", self.special[p]) if k % 2 else self._ordinary(p) for k, p in enumerate(parts))
+        return self._ordinary(text)
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.labels.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -262,8 +286,8 @@ def encode_decode(df: DataFrame, path: str | None = None, text: str = "text", ke
             counts, ids, decoded = [], [], []
             for t in batch.column(len(kept)):
                 found = m.encode(t.as_py() or "")
-                counts.append(len(found))
-                ids.append(found.tobytes())
+                counts.append(len(found) // 4)
+                ids.append(found)
                 decoded.append(m.decode(found))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*kept, *new])
 
