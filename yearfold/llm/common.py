@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_ARROW_BATCH = 512
+BROADCAST_BYTES, SALTS = 32 << 20, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,27 @@ def text_bytes(df: DataFrame, col: str) -> tuple[int, int]:
     return int(row[0]), int(row[1] or 0)
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL for the body, with the value worked out once under the name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def looked_up(rows: DataFrame, found: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """rows joined with found, which is unique by `on`; both come from checkpoints or files.
+
+    found is broadcast if its measured size allows. Else keys that many rows share are salted by
+    the rows' position: each row of found goes to SALTS places, so that no key is in one task.
+    """
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in found.columns]
+    size = found.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), on, how)
+    p = private(rows)
+    salted = rows.withColumn(p, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
+    spread = found.withColumn(p, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(spread, [*on, p], how).drop(p)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,26 +1,31 @@
-"""License scans: headers and licence files against templates, and inheritance along directories.
-
-Header lines are those that speak of licences. Each different one is compared once with every
-template, by the cosine of sparse TF-IDF vectors, and carried back to its documents. So are
-paragraphs of several lines with header templates, and whole texts with whole licences. A document
-without a licence of its own takes that of the nearest directory above it that has a licence
-file. All of it is DataFrame operations.
+"""License scans: lines, headers and licence files against templates, and inheritance along directories.
+
+Three kinds of units of each text are compared with templates of their kind by the cosine of
+sparse TF-IDF vectors: lines with statements, paragraphs of several lines with file headers, and
+whole texts with whole licences. Every unit takes part; those are left out that cannot reach the
+threshold, because too few of their words are in any template of the kind. Each different unit is
+compared once. A document without a licence of its own takes that of the nearest directory above
+it that has a licence file. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from functools import lru_cache
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import let, looked_up, prepare, table
 
-THRESHOLD, FILE_SHARE = 0.6, 0.05
-BLOCK_THRESHOLD, WHOLE_THRESHOLD = 0.7, 0.8
-SPDX = r"(?i)SPDX-License-Identifier:\s*\(?([A-Za-z0-9][A-Za-z0-9.-]*)"
-SPEAKS = r"(?i)licen[cs]e|copyright|spdx|public domain|warrant|permission is"
+FILE_SHARE = 0.05
+THRESHOLDS = {"line": 0.6, "block": 0.7, "whole": 0.8}
+LEAST_SHARED = 2
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.-]*)"
+GAP = r"\n[^A-Za-z0-9\n]*\n"
 # Short statements of common licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -38,6 +43,15 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal"),
     ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose is granted under the ISC License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain, see the Unlicense"),
+    ("Apache-2.0", "Apache 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("MIT", "License: MIT"),
+    ("MIT", "The MIT License (MIT)"),
+    ("GPL-3.0", "GNU General Public License v3.0"),
+    ("GPL-3.0", "GPL 3.0"),
+    ("GPL-2.0", "GPL 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
 )
 # First paragraphs of the headers that licences give for files.
 _GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
@@ -58,114 +72,155 @@ def whole_licenses() -> tuple[tuple[str, str], ...]:
     return tuple((p.name[: -len(".txt")], p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 
 
-def match_units(units: DataFrame, templates: tuple[tuple[str, str], ...], threshold: float, spark: SparkSession) -> DataFrame:
-    """(u, license, cosine) of units (u, text) that reach the threshold. Words count by 1 + ln of their number, and by rarity among the templates."""
-    rows = ", ".join(f"({i}, '{name}', '{' '.join(re.findall('[a-z0-9]+', text.lower()))}')" for i, (name, text) in enumerate(templates))
-    weigh = lambda df, *keys: df.groupBy(*keys, "w").agg((F.log(F.count(F.lit(1))) + 1.0).alias("tf"))
-    t = weigh(spark.sql(f"SELECT t, license, explode(split(text, ' ')) AS w FROM VALUES {rows} AS x(t, license, text)"), "t", "license")
-    idf = t.groupBy("w").agg((F.log((F.lit(1.0) + len(templates)) / (F.lit(1.0) + F.count(F.lit(1)))) + 1.0).alias("idf"))
-    t = t.join(idf, "w").select("t", "license", "w", (F.col("tf") * F.col("idf")).alias("tw"))
-    t = t.join(t.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm")), "t").checkpoint()
-    v = weigh(units.select("u", F.explode(tokens(F.col("text"))).alias("w")), "u").join(F.broadcast(idf), "w", "left")
-    v = v.select("u", "w", (F.col("tf") * F.coalesce("idf", F.lit(1.0) + F.log(F.lit(1.0 + len(templates))))).alias("uw")).checkpoint()
-    norm = v.groupBy("u").agg(F.sqrt(F.sum(F.col("uw") * F.col("uw"))).alias("norm"))
-    dot = v.join(F.broadcast(t), "w").groupBy("u", "t", "license", "tnorm").agg(F.sum(F.col("uw") * F.col("tw")).alias("dot"))  # some thousand rows, fixed above
-    cos = dot.join(norm, "u").withColumn("cosine", F.round(F.col("dot") / F.col("norm") / F.col("tnorm"), 6)).where(F.col("cosine") >= threshold)
-    return cos.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("u", "b.license", (-F.col("b.c")).alias("cosine"))
+@lru_cache(maxsize=1)
+def templates() -> dict[str, tuple[tuple[str, str], ...]]:
+    """(license, text) of each template, by kind."""
+    return {"line": TEMPLATES, "block": HEADERS, "whole": whole_licenses()}
+
 
+def words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
 
-def tokens(c):
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
 
+def weights(kind: str) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """Template rows (number, license, word, share of the unit vector), the rarity of each word, and that of a word in no template.
+
+    A word weighs the root of its count times its rarity, 1 + ln((1 + templates) / (1 + templates with it)).
+    """
+    counts = [Counter(words(text)) for _, text in templates()[kind]]
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in df.items()}
+    rows = []
+    for t, ((name, _), c) in enumerate(zip(templates()[kind], counts, strict=True)):
+        norm = math.sqrt(sum(n * idf[w] ** 2 for w, n in c.items()))
+        rows += [(t, name, w, math.sqrt(n) * idf[w] / norm) for w, n in c.items()]
+    return rows, idf, math.log(1 + len(counts)) + 1
 
-def match_lines(lines: DataFrame, spark: SparkSession) -> DataFrame:
-    """(line, license, cosine) of different lines (line, n: how often) that reach the threshold; equal cosines go to the first name."""
-    counts = lines.select("line", "n", F.explode(tokens(F.col("line"))).alias("w")).groupBy("line", "n", "w").agg(F.count(F.lit(1)).alias("tf"))
-    total = lines.agg(F.sum("n")).first()[0] or 0
-    df = counts.groupBy("w").agg(F.sum("n").alias("df"))
-    idf = lambda: F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0
-    t = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES)) + " AS x(t, license, text)")
-    t = t.select("t", "license", F.explode(tokens(F.col("text"))).alias("w")).groupBy("t", "license", "w").agg(F.count(F.lit(1)).alias("ttf"))
-    t = t.join(df, "w", "left").select("t", "license", "w", (F.col("ttf") * idf()).alias("tw"))
-    t = t.join(t.groupBy("t").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm")), "t")
-    v = counts.join(df, "w").select("line", "w", (F.col("tf") * idf()).alias("lw"))
-    norm = v.groupBy("line").agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("norm"))
-    dot = v.join(F.broadcast(t), "w").groupBy("line", "t", "license", "tnorm").agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"))  # a few hundred rows, fixed above
-    cos = dot.join(norm, "line").withColumn("cosine", F.round(F.col("dot") / F.col("norm") / F.col("tnorm"), 6)).where(F.col("cosine") >= THRESHOLD)
-    best = cos.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
-    return best.select("line", "b.license", (-F.col("b.c")).alias("cosine"))
+
+def tokens(c: str) -> str:
+    return f"transform(filter(split({c}, '[^A-Za-z0-9]+'), w -> w <> ''), w -> lower(w))"
+
+
+def likely(units: str, kind: str) -> str:
+    """SQL for the units of an array that may reach the kind's threshold.
+
+    A word in no template weighs most. So the square of a cosine is at most the share of the
+    unit's words, repeats included, that are in some template: what is below cannot match.
+    """
+    known = ", ".join(f"'{w}'" for w in sorted({w for _, text in templates()[kind] for w in words(text)}))
+    share = (THRESHOLDS[kind] - 1e-6) ** 2
+    return f"filter({units}, u -> {let(tokens('u'), 'ws', f'size(filter(ws, w -> w IN ({known}))) >= greatest({LEAST_SHARED}, {share!r}D * size(ws))')})"
+
+
+def matched(units: DataFrame, kind: str) -> DataFrame:
+    """(kind, text, license, cosine) of the different units (text) that reach the threshold and share two words; equal cosines go to the first name."""
+    spark = units.sparkSession
+    rows, idf, unknown = weights(kind)
+    t = spark.createDataFrame(rows, "t int, license string, w string, tw double")  # these two: some thousand rows, fixed above
+    rare = spark.createDataFrame(list(idf.items()), "w string, idf double")
+    u = units.distinct().withColumn("u", F.sha2(F.encode("text", "UTF-8"), 256)).checkpoint()
+    v = u.select("u", F.explode(F.expr(tokens("text"))).alias("w")).groupBy("u", "w").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(rare), "w", "left")
+    v = v.select("u", "w", (F.sqrt("tf") * F.coalesce("idf", F.lit(unknown))).alias("uw")).checkpoint()
+    norm = v.groupBy("u").agg(F.sqrt(F.sum(F.col("uw") * F.col("uw"))).alias("norm"))
+    dot = v.join(F.broadcast(t), "w").groupBy("u", "t", "license").agg(F.sum(F.col("uw") * F.col("tw")).alias("dot"), F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST_SHARED)
+    cos = dot.join(norm, "u").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= THRESHOLDS[kind])
+    best = cos.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
+    return u.join(best, "u").select(F.lit(kind).alias("kind"), "text", "b.license", (-F.col("b.c")).alias("cosine"))
+
+
+def parent(c):
+    return F.regexp_replace(c, "/?[^/]*$", "")
 
 
 def scan(df: DataFrame, path, doc_id: str = "doc_id", text: str = "text", licence_file=None) -> DataFrame:
     """(doc_id, path, license, origin, cosine, from_dir) of every row.
 
     path: a column with / between its parts. origin is own, inherited or none; license, cosine
-    and from_dir are null where there is none (from_dir unless inherited). A licence file, by
-    default a row that is a whole licence or whose matching lines make FILE_SHARE of its text, speaks for its directory; of
-    several licences there the most frequent one does, then the first name. Null texts have no
-    lines, a null path no directory. Repeated rows stay; an empty table gives an empty result.
+    and from_dir are null where there is none (from_dir unless inherited). A whole licence counts
+    before the best line, header or SPDX line. A licence file, by default a row that is a whole
+    licence or whose matching lines make FILE_SHARE of its text, speaks for its directory; of
+    several licences there the most frequent one does, then the first name. Null and empty texts
+    have no units, a null path no directory. Repeated rows stay; an empty table gives an empty result.
     """
-    spark = df.sparkSession
-    prepare(spark)
-    t = F.col(f"`{text}`")
-    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), path.alias("path"), F.xxhash64(path, t).alias("h"), F.length(t).alias("size"), F.coalesce(t, F.lit("")).alias("t"))
-    docs = docs.withColumn("lines", F.when(F.col("t").rlike(SPEAKS), F.filter(F.split("t", "\n"), lambda x: x.rlike(SPEAKS))).otherwise(F.array().cast("array<string>")))
-    docs = docs.withColumn("t", F.when(F.size("lines") > 0, F.col("t"))).checkpoint()
-    texts = docs.where("t IS NOT NULL").select("doc_id", "h", "path", "size", F.xxhash64("t").alias("u"), "t")
-    said = docs.where(F.size("lines") > 0).select("doc_id", "h", "path", "size", F.explode("lines").alias("line"))
-    hits = match_lines(said.groupBy("line").agg(F.count(F.lit(1)).alias("n")).checkpoint(), spark)
-    named = F.regexp_replace(F.regexp_extract("line", SPDX, 1), "(?i)-(only|or-later)$", "")
-    spdx = said.select("line").distinct().where(F.col("line").rlike(SPDX)).select("line", named.alias("license"), F.lit(1.0).alias("cosine"))
-    hits = hits.join(spdx.select("line"), "line", "left_anti").union(spdx).checkpoint()
-    of = said.join(hits, "line").select("doc_id", "h", "path", "size", F.lit(1).alias("rank"), "cosine", "license", F.length("line").alias("matched"))
-    # paragraphs of several lines; a single line is compared above
-    blocks = texts.select("doc_id", "h", "path", "size", F.explode(F.split("t", r"\n[^A-Za-z0-9\n]*\n")).alias("text")).where(F.col("text").rlike(SPEAKS) & F.trim("text", F.lit("\n")).contains("\n")).withColumn("u", F.xxhash64("text"))
-    of_block = blocks.join(match_units(blocks.select("u", "text").dropDuplicates(["u"]), HEADERS, BLOCK_THRESHOLD, spark), "u").select("doc_id", "h", "path", "size", F.lit(1), "cosine", "license", F.lit(0))
-    whole = match_units(texts.select("u", F.col("t").alias("text")).dropDuplicates(["u"]), whole_licenses(), WHOLE_THRESHOLD, spark)
-    of_whole = texts.join(whole, "u").select("doc_id", "h", "path", "size", F.lit(0), "cosine", "license", F.lit(0))
-    docs = docs.drop("t")
-    of = of.union(of_block).union(of_whole)
-    own = of.groupBy("doc_id", "h", "path", "size").agg(F.min(F.struct("rank", (-F.col("cosine")).alias("c"), "license")).alias("b"), F.sum("matched").alias("matched"))
-    own = own.select("doc_id", "h", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.when(F.col("b.rank") == 0, 1.0).otherwise(F.col("matched") / F.col("size")).alias("share")).checkpoint()
-    parent = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
-    files = own.where(licence_file if licence_file is not None else F.col("share") >= FILE_SHARE).where("path IS NOT NULL")
-    votes = files.groupBy(parent(F.col("path")).alias("dir"), "license").agg(F.count(F.lit(1)).alias("n"))
-    of_dir = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "license")).alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("given"))
-    dirs = docs.where("path IS NOT NULL").select(parent(F.col("path")).alias("dir")).distinct()
+    prepare(df.sparkSession)
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), path.alias("path"), F.length(t).alias("size"), t.alias("t"))
+    spdx, lines = f"u RLIKE r'{SPDX}'", r"split(t, r'\n', -1)"
+    named = f"CASE WHEN contains(lower(t), 'spdx-license-identifier:') THEN filter({lines}, u -> {spdx}) ELSE CAST(array() AS ARRAY<STRING>) END"
+    several = f"filter(split(t, r'{GAP}', -1), u -> contains(trim('\n' FROM u), '\n'))"
+    units = {"spdx": named, "line": f"filter({likely(lines, 'line')}, u -> NOT {spdx})", "block": likely(several, "block"), "whole": likely("array(t)", "whole")}
+    every = ", ".join(f"transform({u}, x -> named_struct('kind', '{k}', 'text', x))" for k, u in units.items())
+    docs = docs.withColumn("units", F.expr(f"concat({every})"))
+    docs = docs.select("doc_id", "path", "size", "units", F.when(F.size("units") > 0, F.sha2(F.encode("t", "UTF-8"), 256)).alias("h")).checkpoint()
+    silent = docs.where(F.size("units") == 0).select("doc_id", "path", *[F.lit(None).cast(k).alias(c) for c, k in (("license", "string"), ("cosine", "double"), ("share", "double"))])
+    each = docs.where(F.size("units") > 0).select("doc_id", "path", "size", "h", F.posexplode("units").alias("pos", "unit")).select("doc_id", "path", "size", "h", "pos", "unit.*").checkpoint()
+    hits = [matched(each.where(F.col("kind") == k).select("text"), k) for k in THRESHOLDS]
+    told = F.regexp_replace(F.regexp_extract("text", SPDX, 1), "(?i)-(only|or-later)$", "")
+    hits = hits[0].union(hits[1]).union(hits[2]).union(each.where("kind = 'spdx'").select("kind", "text").distinct().select("kind", "text", told, F.lit(1.0))).checkpoint()
+    of = looked_up(each, hits, ["kind", "text"])
+    best = F.min(F.when(F.col("license").isNotNull(), F.struct((F.col("kind") != "whole").alias("rank"), (-F.col("cosine")).alias("c"), "license"))).alias("b")
+    length = F.sum(F.when(F.col("license").isNotNull() & F.col("kind").isin("line", "spdx"), F.length("text")).otherwise(0)).alias("matched")
+    own = of.groupBy("doc_id", "path", "size", "h").agg(best, length, F.count_if(F.col("pos") == 0).alias("copies"))
+    share = F.when(~F.col("b.rank"), 1.0).when(F.col("b").isNotNull(), F.col("matched") / F.col("copies") / F.col("size"))
+    own = own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), share.alias("share"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    own = own.union(silent).withColumn("dir", parent(F.col("path"))).checkpoint()
+    files = own.where("license IS NOT NULL AND path IS NOT NULL").where(licence_file if licence_file is not None else F.col("share") >= FILE_SHARE)
+    votes = files.groupBy("dir", "license").agg(F.count(F.lit(1)).alias("n"))
+    of_dir = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "license")).alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("given")).checkpoint()
+    dirs = own.where("path IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
-    up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("above"))
-    near = up.join(of_dir, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "given")).alias("b")).select("dir", F.col("b.above").alias("from_dir"), F.col("b.given").alias("given"))
-    o = own.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), "license", "cosine").distinct()
-    j = docs.join(o, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left").withColumn("dir", parent(F.col("path"))).join(near, "dir", "left")
+    up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("above")).checkpoint()
+    near = looked_up(up, of_dir, ["above"], "inner").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "given")).alias("b")).select("dir", F.col("b.above").alias("from_dir"), F.col("b.given").alias("given")).checkpoint()
+    j = looked_up(own, near, ["dir"])
     return j.select("doc_id", "path", F.coalesce("license", "given").alias("license"), F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none").alias("origin"), "cosine", F.when(F.col("license").isNull(), F.col("from_dir")).alias("from_dir"))
 
 
 def op1_licenses(spark, sf_dir: str) -> DataFrame:
-    """Documents have no paths: source and language stand for directories, the id for the file name."""
-    docs = table(spark, sf_dir, "documents")
-    return scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
-
-
-_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
-_TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: w <> '')"
-ORACLE = f"""
-WITH docs AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, concat_ws('/', source, lang) AS dir, length(text) AS size, coalesce(text, '') AS t FROM documents),
-said AS (SELECT doc_id, path, dir, size, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SPEAKS}'))) AS line FROM docs),
-lines AS (SELECT line, count(*) AS n FROM said GROUP BY line),
-cnt AS (SELECT line, n, w, count(*) AS tf FROM (SELECT line, n, unnest({_TOKENS.format(c='line')}) AS w FROM lines) GROUP BY ALL),
-tot AS (SELECT coalesce(sum(n), 0) AS total FROM lines),
-df AS (SELECT w, sum(n) AS df FROM cnt GROUP BY w),
-tpl AS (SELECT t, license, w, count(*) AS ttf FROM (SELECT t, license, unnest({_TOKENS.format(c='text')}) AS w FROM (VALUES {_TEMPLATES}) x(t, license, text)) GROUP BY ALL),
-tv AS (SELECT t, license, w, ttf * (ln((1.0 + total) / (1.0 + coalesce(df, 0))) + 1.0) AS tw FROM tpl LEFT JOIN df USING (w), tot),
-tn AS (SELECT t, sqrt(sum(tw * tw)) AS tnorm FROM tv GROUP BY t),
-lv AS (SELECT line, w, tf * (ln((1.0 + total) / (1.0 + df)) + 1.0) AS lw FROM cnt JOIN df USING (w), tot),
-ln_ AS (SELECT line, sqrt(sum(lw * lw)) AS norm FROM lv GROUP BY line),
-cosines AS (SELECT line, license, round(sum(lw * tw) / max(norm) / max(tnorm), 6) AS cosine FROM lv JOIN tv USING (w) JOIN ln_ USING (line) JOIN tn USING (t) GROUP BY line, t, license),
-hits AS (SELECT line, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY cosine DESC, license) AS rn FROM cosines WHERE cosine >= {THRESHOLD}) WHERE rn = 1),
-own AS (SELECT doc_id, dir, license, cosine, share FROM (SELECT doc_id, dir, license, cosine, sum(length(line)) OVER (PARTITION BY doc_id) / size AS share, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS rn FROM said JOIN hits USING (line)) WHERE rn = 1),
-given AS (SELECT dir, license FROM (SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, license) AS rn FROM own WHERE share >= {FILE_SHARE} GROUP BY dir, license) WHERE rn = 1)
-SELECT docs.doc_id, docs.path, coalesce(own.license, given.license) AS license,
-  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN given.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-  own.cosine, CASE WHEN own.license IS NULL THEN given.dir END AS from_dir
-FROM docs LEFT JOIN own USING (doc_id) LEFT JOIN given ON given.dir = docs.dir
+    """Licences of every whole text of documents; see scan.
+
+    Documents have no paths. The language and all digits of the id but the last stand for
+    directories, so that 1234 lies in en/1/2/3, below the directory of 12; files are at any depth.
+    They have no file names either: each document with a licence of its own speaks for its directory.
+    """
+    name = F.col("doc_id").cast("string")
+    path = F.concat(F.coalesce("lang", F.lit("")), F.regexp_replace(F.regexp_replace(name, ".$", ""), "(.)", "/$1"), F.lit("/"), name)
+    return scan(table(spark, sf_dir, "documents"), path, licence_file=F.col("license").isNotNull())
+
+
+def oracle() -> str:
+    """DuckDB SQL for op1_licenses: every unit against every template that shares a word."""
+    rows = ", ".join(f"('{k}', {i}, '{name}', '{' '.join(words(text))}')" for k, ts in templates().items() for i, (name, text) in enumerate(ts))
+    theta = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items()) + " END"
+    spdx = SPDX.replace("'", "''")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') || regexp_replace(regexp_replace(CAST(doc_id AS VARCHAR), '.$', ''), '(.)', '/\\1', 'g') AS dir, coalesce(text, '') AS t FROM documents),
+tpl AS (SELECT kind, t, license, unnest(string_split(text, ' ')) AS w FROM (VALUES {rows}) x(kind, t, license, text)),
+tc AS (SELECT kind, t, license, w, count(*) AS tf FROM tpl GROUP BY ALL),
+number AS (SELECT kind, count(DISTINCT t) AS n FROM tpl GROUP BY kind),
+idf AS (SELECT kind, w, ln((1.0 + max(n)) / (1.0 + count(*))) + 1.0 AS idf FROM tc JOIN number USING (kind) GROUP BY kind, w),
+tv AS (SELECT kind, t, license, w, sqrt(tf) * idf AS tw FROM tc JOIN idf USING (kind, w)),
+tn AS (SELECT kind, t, sqrt(sum(tw * tw)) AS tnorm FROM tv GROUP BY ALL),
+units AS (
+  SELECT doc_id, CASE WHEN regexp_matches(text, '{spdx}') THEN 'spdx' ELSE 'line' END AS kind, text FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS text FROM docs)
+  UNION ALL SELECT doc_id, 'block', text FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '{GAP}')) AS text FROM docs) WHERE contains(trim(text, chr(10)), chr(10))
+  UNION ALL SELECT doc_id, 'whole', t FROM docs),
+each AS (SELECT row_number() OVER () AS u, kind, text FROM (SELECT DISTINCT kind, text FROM units)),
+uc AS (SELECT u, kind, lower(w) AS w, count(*) AS tf FROM (SELECT u, kind, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM each) GROUP BY ALL),
+uv AS (SELECT u, uc.kind, uc.w, sqrt(tf) * coalesce(idf, ln(1.0 + n) + 1.0) AS uw FROM uc JOIN number ON number.kind = uc.kind LEFT JOIN idf ON idf.kind = uc.kind AND idf.w = uc.w),
+un AS (SELECT u, sqrt(sum(uw * uw)) AS unorm FROM uv GROUP BY u),
+dots AS (SELECT u, kind, t, license, sum(uw * tw) AS dot FROM uv JOIN tv USING (kind, w) GROUP BY ALL HAVING count(*) >= {LEAST_SHARED}),
+cosines AS (SELECT u, kind, license, round(dot / unorm / tnorm, 6) AS cosine FROM dots JOIN un USING (u) JOIN tn USING (kind, t)),
+hits AS (SELECT kind, text, license, cosine FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY cosine DESC, license) AS rn FROM cosines WHERE cosine >= {theta}) JOIN each USING (u, kind) WHERE rn = 1
+  UNION ALL SELECT kind, text, regexp_replace(regexp_extract(text, '{spdx}', 1), '(?i)-(only|or-later)$', ''), 1.0 FROM each WHERE kind = 'spdx'),
+own AS (SELECT doc_id, license, cosine FROM (SELECT doc_id, license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY kind <> 'whole', cosine DESC, license) AS rn FROM units JOIN hits USING (kind, text)) WHERE rn = 1),
+given AS (SELECT above, license FROM (SELECT dir AS above, license, row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, license) AS rn FROM own JOIN docs USING (doc_id) GROUP BY dir, license) WHERE rn = 1),
+up AS (SELECT DISTINCT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS above, k FROM docs, LATERAL (SELECT unnest(range(0, len(string_split(dir, '/')) + 1)) AS k)),
+near AS (SELECT dir, above, license FROM (SELECT dir, above, license, row_number() OVER (PARTITION BY dir ORDER BY k DESC) AS rn FROM up JOIN given USING (above)) WHERE rn = 1)
+SELECT docs.doc_id, docs.dir || '/' || docs.doc_id AS path, coalesce(own.license, near.license) AS license,
+  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  own.cosine, CASE WHEN own.license IS NULL THEN near.above END AS from_dir
+FROM docs LEFT JOIN own USING (doc_id) LEFT JOIN near ON near.dir = docs.dir
 """
+
+
+ORACLE = oracle()

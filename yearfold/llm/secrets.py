@@ -15,7 +15,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, private, table
+from .common import let, prepare, private, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,11 +42,6 @@ def q(pattern: str) -> str:
     return "r'" + pattern + "'" if "'" not in pattern else "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def let(value: str, name: str, body: str) -> str:
-    """The body, with the value worked out once under the name."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def before(values: str, zero: str, add: str, name: str) -> str:
     """For each int of an array, what `add` (of $a and $x) makes of all before it, from zero; as an array.
 
