@@ -358,6 +358,72 @@ def test_toxicity(spark, empty):
     assert clash.columns == [*plain.columns, "toxic", "p_toxic"] and {(r.doc_id, r.toxic) for r in clash.collect()} == {(r.doc_id, "own") for r in kept.collect()}
 
 
+def test_toxicity_chain(spark):
+    """The chain against sets and loops, and labels that are out of range or clash."""
+    rows = labelled(spark, 160).orderBy("doc_id").collect()
+    texts = [r.text for r in rows]
+    y = [[1 - r.quality, r.toxic, (1 - r.quality) * r.toxic] for r in rows]
+    held = [*(r.text for r in labelled(spark, 200).where("doc_id >= 160").orderBy("doc_id").collect()), None, "grumboing"]
+    got = toxicity.train(texts, y).predict(held)
+    assert np.abs(got - np.array(toxicity.brute_force(texts, y, held))).max() < 1e-3
+    docs = labelled(spark, 20).drop("quality", "toxic")
+    with pytest.raises(ValueError):
+        toxicity.score(docs, spark.createDataFrame([(1, 1, 2)], "doc_id long, quality int, toxic int"))
+    clash = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, None, 1), (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, toxicity.categories(clash).collect())) == [(1, 1, 1, 1), (2, 0, 1, 0)]
+
+
+def test_labelled_sample(spark):
+    from yearfold.llm.linear import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"{i:03d} " + "x" * 96) for i in range(100)] + [(7, "! least"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 100)], "doc_id long, y int")
+    every = labelled_sample(docs, labels, "y", 1000, 1 << 20).to_pylist()
+    assert len(every) == 100 and every[7]["text"] == "! least"
+    some = labelled_sample(docs, labels, "y", 20, 2000).to_pylist()
+    assert len(some) == 20 and sum(r["y"] for r in some) == 10
+    assert labelled_sample(docs, labels, "y", 20, 2000).to_pylist() == some
+    assert labelled_sample(docs, labels, "y", 20, 3).num_rows == 0
+
+
+def test_quality_shrinkage(spark):
+    """Posteriors and results from the classifier's evidence, in plain Python."""
+    d = labelled(spark)
+    labels = d.where("doc_id < 200").select("doc_id", "quality", "toxic")
+    path = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 5).cast("string"))
+    own = {r.doc_id: (r.source, f"{r.source}/{r.doc_id % 5}") for r in d.collect()}
+    out = {r.doc_id: r for r in quality.score(d.drop("quality", "toxic"), labels, path=path).collect()}
+    p = {i: r.p_doc for i, r in out.items()}
+    base = float(np.mean(list(p.values())))
+
+    def groups(level):
+        found = {}
+        for i, names in own.items():
+            found.setdefault(names[level], []).append(p[i])
+        return found
+
+    def worth(members, prior):
+        big = {g: x for g, x in members.items() if len(x) > 1}
+        n = sum(map(len, big.values()))
+        within = sum((v - np.mean(x)) ** 2 for x in big.values() for v in x) / (n - len(big))
+        between = sum(len(x) * (np.mean(x) - prior(g)) ** 2 for g, x in big.items()) / n - within * len(big) / n
+        return within / between if between > 0 else float("inf")
+
+    hosts, paths = groups(0), groups(1)
+    m1 = worth(hosts, lambda g: base)
+    m2 = worth(paths, lambda g: np.mean(hosts[g.split("/")[0]]))
+    logit = lambda v: np.log(v / (1 - v))
+    for i, (h, g) in own.items():
+        rest = lambda x, i=i: (sum(x) - p[i], len(x) - 1)
+        (s, n), (t, k) = rest(hosts[h]), rest(paths[g])
+        host = (s + m1 * base) / (n + m1) if n and m1 < float("inf") else base
+        near = (t + m2 * host) / (k + m2) if k and m2 < float("inf") else host
+        z = logit(np.clip(p[i], 1e-6, 1 - 1e-6)) + logit(np.clip(near, 1e-6, 1 - 1e-6)) - logit(base)
+        assert np.allclose([out[i].host_posterior, out[i].path_posterior, out[i].p_quality], [host, near, 1 / (1 + np.exp(-z))], atol=1e-9)
+    with pytest.raises(ValueError):
+        quality.score(d, spark.createDataFrame([(1, 3)], "doc_id long, quality int"))
+
+
 def test_quality(spark, empty):
     d = labelled(spark)
     labels = d.where("doc_id < 200").select("doc_id", "quality", "toxic")
