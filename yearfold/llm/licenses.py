@@ -25,6 +25,7 @@ FILE_SHARE = 0.05
 THRESHOLDS = {"line": 0.6, "block": 0.7, "whole": 0.8}
 LEAST_SHARED = 2
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9][A-Za-z0-9.-]*)"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = r"\n[^A-Za-z0-9\n]*\n"
 # Short statements of common licences.
 TEMPLATES = (
@@ -101,15 +102,32 @@ def tokens(c: str) -> str:
     return f"transform(filter(split({c}, '[^A-Za-z0-9]+'), w -> w <> ''), w -> lower(w))"
 
 
+def vocabulary(*kinds: str) -> str:
+    """SQL for the words of templates of these kinds, for IN."""
+    return "(" + ", ".join(f"'{w}'" for w in sorted({w for k in kinds for _, text in templates()[k] for w in words(text)})) + ")"
+
+
+def reachable(kind: str, found: str) -> str:
+    """SQL for whether a text whose words in templates are `found` may hold a unit that reaches the kind's threshold.
+
+    A cosine is at most the length of the template's unit vector over the words that both have. So
+    for some template, the squared weights of its words in the text must add up to the square.
+    """
+    rows: dict[int, list[str]] = {}
+    for t, _, w, tw in weights(kind)[0]:
+        rows.setdefault(t, []).append(f"named_struct('w', '{w}', 'x', {tw * tw!r}D)")
+    every = "array(" + ", ".join(f"array({', '.join(r)})" for r in rows.values()) + ")"
+    return f"exists({every}, t -> aggregate(t, 0D, (a, p) -> a + CASE WHEN array_contains({found}, p.w) THEN p.x ELSE 0D END) >= {(THRESHOLDS[kind] - 1e-6) ** 2!r}D)"
+
+
 def likely(units: str, kind: str) -> str:
     """SQL for the units of an array that may reach the kind's threshold.
 
     A word in no template weighs most. So the square of a cosine is at most the share of the
     unit's words, repeats included, that are in some template: what is below cannot match.
     """
-    known = ", ".join(f"'{w}'" for w in sorted({w for _, text in templates()[kind] for w in words(text)}))
     share = (THRESHOLDS[kind] - 1e-6) ** 2
-    return f"filter({units}, u -> {let(tokens('u'), 'ws', f'size(filter(ws, w -> w IN ({known}))) >= greatest({LEAST_SHARED}, {share!r}D * size(ws))')})"
+    return f"filter({units}, u -> {let(tokens('u'), 'ws', f'size(filter(ws, w -> w IN {vocabulary(kind)})) >= greatest({LEAST_SHARED}, {share!r}D * size(ws))')})"
 
 
 def matched(units: DataFrame, kind: str) -> DataFrame:
@@ -145,10 +163,19 @@ def scan(df: DataFrame, path, doc_id: str = "doc_id", text: str = "text", licenc
     prepare(df.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), path.alias("path"), F.length(t).alias("size"), t.alias("t"))
-    spdx, lines = f"u RLIKE r'{SPDX}'", r"split(t, r'\n', -1)"
-    named = f"CASE WHEN contains(lower(t), 'spdx-license-identifier:') THEN filter({lines}, u -> {spdx}) ELSE CAST(array() AS ARRAY<STRING>) END"
+    spdx, lines, nothing = f"u RLIKE r'{SPDX}'", r"split(t, r'\n', -1)", "CAST(array() AS ARRAY<STRING>)"
     several = f"filter(split(t, r'{GAP}', -1), u -> contains(trim('\n' FROM u), '\n'))"
-    units = {"spdx": named, "line": f"filter({likely(lines, 'line')}, u -> NOT {spdx})", "block": likely(several, "block"), "whole": likely("array(t)", "whole")}
+    # a text's words that are in templates, once; from them, whether lines, paragraphs or all of it can match
+    docs = docs.withColumn("low", F.translate("t", UPPER, UPPER.lower()))
+    docs = docs.withColumn("known", F.expr(let("split(low, '[^a-z0-9]+')", "ws", f"named_struct('n', size(ws) - 2, 'k', filter(ws, w -> w IN {vocabulary(*THRESHOLDS)}))")))
+    docs = docs.withColumns({"found": F.array_distinct("known.k"), "shared": F.expr(f"size(filter(known.k, w -> w IN {vocabulary('whole')}))")})
+    docs = docs.withColumns({k: F.expr(reachable(k, "found")) for k in ("line", "block")}).withColumn("whole", F.expr(f"shared >= greatest({LEAST_SHARED}, {(THRESHOLDS['whole'] - 1e-6) ** 2!r}D * known.n)"))
+    units = {
+        "spdx": f"CASE WHEN contains(low, 'spdx-license-identifier:') THEN filter({lines}, u -> {spdx}) ELSE {nothing} END",
+        "line": f"CASE WHEN line THEN filter({likely(lines, 'line')}, u -> NOT {spdx}) ELSE {nothing} END",
+        "block": f"CASE WHEN block THEN {likely(several, 'block')} ELSE {nothing} END",
+        "whole": f"CASE WHEN whole THEN {likely('array(t)', 'whole')} ELSE {nothing} END",
+    }
     every = ", ".join(f"transform({u}, x -> named_struct('kind', '{k}', 'text', x))" for k, u in units.items())
     docs = docs.withColumn("units", F.expr(f"concat({every})"))
     docs = docs.select("doc_id", "path", "size", "units", F.when(F.size("units") > 0, F.sha2(F.encode("t", "UTF-8"), 256)).alias("h")).checkpoint()
