@@ -96,5 +96,10 @@ def checked_name(name: str) -> str:
     return f"`{name}`"
 
 
+def is_name(c: Column) -> Column:
+    """Whether it is an identifier; null is none."""
+    return F.coalesce(c.rlike(f"^{NAME.pattern}$"), F.lit(False))
+
+
 def is_partition_key(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))

@@ -25,11 +25,14 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def primary_key_violations(df: DataFrame, keys: list[str], partition: str | None = None) -> DataFrame:
-    """(rule, n) of the key alone, of key and partition value, and of nulls in the key."""
-    rules = [("key", keys)] + ([("key and partition", [*keys, partition])] if partition else [])
-    out = [duplicates(df, k).agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("n")) for name, k in rules]
+    """(rule, n) of the key alone, of key and partition value, and of nulls in the key: rows are counted once, by both, and rolled up."""
     null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
-    return reduce(DataFrame.union, [*out, df.agg(F.lit("null").alias("rule"), F.count_if(null).alias("n"))])
+    pairs = df.groupBy(*keys, *([partition] if partition else [])).agg(F.count(F.lit(1)).alias("__n"))
+    each = pairs.groupBy(*keys).agg(F.sum("__n").alias("__rows"), F.count_if(F.col("__n") > 1).alias("__pairs"))
+    total = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    rule = lambda name, c: F.struct(F.lit(name).alias("rule"), c.alias("n"))
+    out = [rule("key", F.count_if(F.col("__rows") > 1)), *([rule("key and partition", total(F.sum("__pairs")))] if partition else []), rule("null", total(F.sum(F.when(null, F.col("__rows")))))]
+    return each.agg(F.array(*out).alias("rules")).select(F.inline("rules"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, keys: Keys) -> DataFrame:
@@ -74,6 +77,13 @@ def restrict(child: DataFrame, gone: DataFrame, keys: Keys) -> None:
 on_update_cascade = sync
 
 
+def config_guard(cases: DataFrame) -> DataFrame:
+    """cases with verdict: accept or reject. event is new or delete; has_null and partitioned may be null, which says that the question failed."""
+    new = F.when(F.col("has_unique"), "reject").when(F.col("has_null").isNull() | (F.col("has_null") == "Y"), "reject").otherwise("accept")
+    gone = F.when(F.coalesce("partitioned", F.lit(True)), "reject").otherwise("accept")
+    return cases.withColumn("verdict", F.when(F.col("event") == "new", new).when(F.col("event") == "delete", gone).otherwise("accept"))
+
+
 def check_new_config(df: DataFrame, column: str, has_unique: bool) -> None:
     """Raises where a table cannot be partitioned by the column."""
     if has_unique:

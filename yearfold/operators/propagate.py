@@ -9,7 +9,11 @@ Keys = list[tuple[str, str]]  # (child's column, parent's column), all of which
 
 
 def _parent(parent: DataFrame, keys: Keys, field: str) -> DataFrame:
-    return parent.select(*[F.col(p).alias(f"__k{i}") for i, (_, p) in enumerate(keys)], F.col(field).alias("__value"), F.lit(True).alias("__there"))
+    """One row for each key, by one shuffle on the key that the join needs as well. A key that occurs twice raises."""
+    own = parent.select(*[F.col(p).alias(f"__k{i}") for i, (_, p) in enumerate(keys)], F.col(field).alias("__value")).dropna(subset=[f"__k{i}" for i in range(len(keys))])
+    one = own.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.max("__value").alias("__value"), F.count(F.lit(1)).alias("__n"))
+    text = F.concat(F.lit(f"the parent's key {[p for _, p in keys]} is not unique: "), F.concat_ws(", ", *[F.col(f"__k{i}").cast("string") for i in range(len(keys))]))
+    return one.where(F.when(F.col("__n") > 1, F.raise_error(text).cast("boolean")).otherwise(True)).drop("__n").withColumn("__there", F.lit(True))
 
 
 def _match(keys: Keys) -> Column:

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from yearfold import more_queries
 from yearfold.functions import scalars
 from yearfold.operators import catalog, integrity, layout, propagate, retention
 from yearfold.plans import rebuild
@@ -96,6 +97,10 @@ def _keyrows(s):
 
 
 def queries() -> dict:
+    return _queries() | more_queries.queries()
+
+
+def _queries() -> dict:
     o = lambda s, d: _t(s, d, "orders")
     li = lambda s, d: _t(s, d, "lineitem")
     return {
@@ -126,7 +131,7 @@ def queries() -> dict:
         "config_resolution": lambda s, d: catalog.config_resolution(_v(s, CONFIG, "table_id, column_id"), _v(s, TABLES, "table_id, table_name"), _v(s, COLUMNS, "column_id, table_id, column_name, is_key")),
         "config_fields": lambda s, d: catalog.fields_by_table(_v(s, CONFIG, "table_id, column_id"), _v(s, TABLES, "table_id, table_name"), _v(s, COLUMNS, "column_id, table_id, column_name, is_key")).select("table_name", F.array_join("fields", ",").alias("fields")),
         "config_semi_join": lambda s, d: catalog.configured_tables(_v(s, TABLES, "table_id, table_name"), _v(s, CONFIG, "table_id, column_id")),
-        "compound_fk_columns": lambda s, d: catalog.compound_keys(_usage(s), lambda c: c == "helper"),
+        "compound_fk_columns": lambda s, d: catalog.compound_keys(_usage(s), lambda c: c == "helper").drop("table_name"),
         "first_definition_wins": lambda s, d: catalog.first_definitions(_defs(s)),
         "column_diff": lambda s, d: catalog.column_diff(_defs(s), _v(s, ACTUAL, "column_name")),
         "alter_plan": lambda s, d: rebuild.alter_plan(catalog.column_diff(_defs(s).where("table_name = 't'"), _v(s, ACTUAL, "column_name")), catalog.first_definitions(_defs(s).where("table_name = 't'"))),
@@ -136,8 +141,8 @@ def queries() -> dict:
         "exclude_filter_names": lambda s, d: rebuild.exclude_names(_v(s, "VALUES ('c_order_pk')", "name"), _keyrows(s)),
         "run_summary": lambda s, d: rebuild.run_summary(_v(s, OUTCOMES, "table_name, status, n_rows").withColumn("n_rows", F.col("n_rows").cast("long"))),
         "backup_retention": lambda s, d: retention.to_delete(_events(s, d), F.lit("2024-01-31").cast("timestamp_ntz")),
-        "metadata_upsert": lambda s, d: retention.upsert(_last(s, d, "event_id % 3 = 0"), _last(s, d, "event_id % 5 = 0"), "user_id"),
-        "metadata_delete": lambda s, d: retention.delete(_last(s, d, "true"), _last(s, d, "event_type = 'purchase' AND event_id % 7 = 0"), "user_id"),
+        "metadata_upsert": lambda s, d: retention.upsert(_last(s, d, "ts < '2024-01-28'"), _last(s, d, "ts >= '2024-01-28'"), "user_id"),
+        "metadata_delete": lambda s, d: retention.delete(_last(s, d, "true"), _last(s, d, "event_type = 'purchase' AND ts >= '2024-01-29'"), "user_id"),
     }
 
 
@@ -166,9 +171,13 @@ def _last_sql(cond: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _oracle_sql() | more_queries.oracle_sql()
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "year_range": "SELECT CAST(year(min(o_orderdate)) AS INTEGER) AS min_year, CAST(year(max(o_orderdate)) AS INTEGER) AS max_year FROM orders",
-        "year_range_empty": "SELECT CAST(2001 AS INTEGER) AS min_year, CAST(2001 AS INTEGER) AS max_year",
+        "year_range_empty": "SELECT CAST(coalesce(year(min(o_orderdate)), 2001) AS INTEGER) AS min_year, CAST(coalesce(year(max(o_orderdate)), 2001) AS INTEGER) AS max_year FROM orders WHERE o_orderkey < 0",
         "year_layout": f"SELECT p_year, name, CAST(from_date AS VARCHAR) AS from_date, CAST(to_date AS VARCHAR) AS to_date FROM ({_LAYOUT})",
         "layout_row_counts": f"SELECT p_year, name, (SELECT count(*) FROM orders WHERE year(o_orderdate) = p_year) AS n_rows FROM ({_LAYOUT})",
         "partitioned_copy": "SELECT *, CAST(year(o_orderdate) AS INTEGER) AS p_year FROM orders",
@@ -197,7 +206,9 @@ def oracle_sql() -> dict[str, str]:
         "compound_fk_columns": f"SELECT constraint_name, string_agg(column_name, ', ' ORDER BY ordinal) AS columns, string_agg(referenced_column, ', ' ORDER BY ordinal) AS referenced FROM {_U} WHERE NOT can_defer GROUP BY 1 HAVING count(*) = 2 AND bool_or(column_name = 'helper')",
         "first_definition_wins": f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY table_name, lower(column_name) ORDER BY file_order, place) AS rn FROM {_D}) WHERE rn = 1",
         "column_diff": _DIFF.format(d=_D, a=_A),
-        "alter_plan": "SELECT 'b' AS column_name, 'add' AS action, 'decimal(38,18)' AS type UNION ALL SELECT 'c', 'keep', NULL UNION ALL SELECT 'd', 'keep', NULL",
+        "alter_plan": f"""WITH w AS (SELECT lower(column_name) AS c, type, required FROM (SELECT *, row_number() OVER (PARTITION BY lower(column_name) ORDER BY file_order, place) AS n FROM {_D} WHERE table_name = 't') WHERE n = 1), a AS (SELECT DISTINCT lower(column_name) AS c FROM {_A})
+            SELECT c AS column_name, CASE WHEN lower(required) = 'true' THEN 'add not null' ELSE 'add' END AS action, {_case('upper(type)', scalars.TYPE_NAMES, 'string')} AS type FROM w WHERE c NOT IN (SELECT c FROM a)
+            UNION ALL SELECT c, 'keep', NULL FROM a WHERE c NOT IN (SELECT c FROM w)""",
         "skip_decision": "SELECT incomplete, first_run, unchanged, incomplete OR (NOT first_run AND unchanged) AS skip FROM (VALUES (true), (false)) a(incomplete), (VALUES (true), (false)) b(first_run), (VALUES (true), (false)) c(unchanged)",
         "scalar_functions": f"SELECT act, {_case('lower(trim(act))', scalars.ON_DELETE, 'NO ACTION')} AS on_delete, CASE WHEN trim(coalesce(size, '')) = '' THEN 0 ELSE CAST(floor(CAST(replace(trim(size), ',', '.') AS DOUBLE) + 0.5) AS INTEGER) END AS size, coalesce(regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g'), 'unknown') AS name, {_case('upper(kind)', scalars.TYPE_NAMES, 'string')} AS kind, {_case('code', scalars.DELETE_CODES, 'NO ACTION')} AS code FROM ({CASES}) t(act, size, name, kind, code)",
         "constraint_plan": f"""WITH k AS (SELECT DISTINCT table_name, key_name, column_name, on_delete, {_H} || 'dateordered__' || lower(key_name) AS h FROM {_K})
@@ -207,6 +218,6 @@ def oracle_sql() -> dict[str, str]:
         "exclude_filter_names": f"SELECT 'primary key' AS kind, 'C_ORDER_PK' AS name UNION SELECT 'foreign key', upper(key_name) FROM {_K} UNION SELECT 'column', upper({_H} || field || '__' || key_name) FROM {_K} UNION SELECT 'trigger', upper({_CLEAN} || '_trg') FROM {_K} UNION SELECT 'function', upper({_CLEAN} || '_fill') FROM {_K}",
         "run_summary": f"SELECT status, count(*) AS n_tables, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM ({OUTCOMES}) t(table_name, status, n_rows) GROUP BY 1",
         "backup_retention": "SELECT table_name, created_at, backup_name FROM (SELECT user_id AS table_name, ts AS created_at, event_id AS backup_name, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn > 5 OR created_at < TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS",
-        "metadata_upsert": f"SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.last_processed, o.last_processed) AS last_processed FROM ({_last_sql('event_id % 3 = 0')}) o FULL JOIN ({_last_sql('event_id % 5 = 0')}) n USING (user_id)",
-        "metadata_delete": f"SELECT * FROM ({_last_sql('true')}) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0)",
+        "metadata_upsert": f"SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.last_processed, o.last_processed) AS last_processed FROM ({_last_sql("ts < TIMESTAMP '2024-01-28'")}) o FULL JOIN ({_last_sql("ts >= TIMESTAMP '2024-01-28'")}) n USING (user_id)",
+        "metadata_delete": f"SELECT * FROM ({_last_sql('true')}) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-29')",
     }
