@@ -19,12 +19,14 @@ def prepare(spark: SparkSession) -> None:
     """Sees to a checkpoint folder and to small Arrow batches.
 
     The folder is the one the cluster names in spark.checkpoint.dir; only where the session
-    has none (tests on one machine) is a temporary one made. Batches are bounded because one
-    document can be very long.
+    has none and the master is local (tests on one machine) is a temporary one made. Batches are
+    bounded because one document can be very long.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ROWS_PER_ARROW_BATCH or int(spark.conf.get(key)) <= 0:

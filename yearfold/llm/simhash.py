@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare, shuffle_partitions, table
+from .common import looked_up, prepare, private, shuffle_partitions, table
 from .wordhash import xxh64
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 SMALL_RUN = 16
-FLUSH = 1 << 14
+FLUSH, BUCKET_ROWS = 1 << 14, 1_000_000
 U = np.uint64
 
 
@@ -60,9 +61,9 @@ def _fingerprints(docs: list[list[bytes]]) -> np.ndarray:
 
 def add_fingerprint(df: DataFrame, text: str = "text", to: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """Adds the fingerprint as a long. A null or blank text has fingerprint zero."""
-    kept = [c for c in (keep or df.columns) if c != to]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-    schema = source.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias(to)).schema
+    kept = [c for c in (keep or df.columns) if c.lower() != to.lower()]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(private(df) + "text"))
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(to, T.LongType())])
 
     def run(batches):
         for b in batches:
@@ -135,7 +136,9 @@ def verify(keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Links (a, b) between distinct fingerprints that are within two bits; not all inside large groups, but enough to connect them."""
     spark = fps.sparkSession
-    buckets = max(shuffle_partitions(spark), -(-fps.count() * 66 // 1_000_000))
+    n = fps.count()
+    buckets = max(shuffle_partitions(spark), -(-n * 66 // BUCKET_ROWS))
+    tasks = max(shuffle_partitions(spark), -(-n * 66 // (16 * BUCKET_ROWS)))  # each fingerprint grows by a factor of 66
 
     def deal(batches):
         def rows(held):
@@ -161,7 +164,7 @@ def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
         a, b = verify(keys, own)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    dealt = fps.select(F.col(fp).alias("fp")).mapInArrow(deal, "bucket int, keys binary, fps binary")
+    dealt = fps.select(F.col(fp).alias("fp")).repartition(tasks, "fp").mapInArrow(deal, "bucket int, keys binary, fps binary")
     return dealt.groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -169,18 +172,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): all nodes of a connected component get one root.
 
     Each round leads every node to its smallest neighbour (twice) and contracts the edges by
-    that; the number of nodes at least halves. Edges and roots are checkpointed in each round.
+    that; the number of nodes at least halves. Edges and roots are checkpointed in each round, and
+    hubs, which many edges share, are no hot keys (looked_up).
     """
     edges = edges.where("a != b").distinct().checkpoint()
     roots = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")).checkpoint()
     while not edges.isEmpty():
         both = edges.select("a", "b").union(edges.select("b", "a"))
         up = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")).select(F.col("a").alias("at"), "up").checkpoint()
-        again = up.select(F.col("at").alias("up"), F.col("up").alias("upper"))
-        up = up.join(again, "up", "left").select("at", F.coalesce("upper", "up").alias("up")).checkpoint()
-        lead = lambda df, c: df.join(up.select(F.col("at").alias(c), F.col("up").alias("__up")), c, "left").withColumn(c, F.coalesce("__up", c)).drop("__up")
+        up = looked_up(up, up.select(F.col("at").alias("up"), F.col("up").alias("upper")), ["up"]).select("at", F.coalesce("upper", "up").alias("up")).checkpoint()
+        lead = lambda df, c: looked_up(df, up.select(F.col("at").alias(c), "up"), [c]).withColumn(c, F.coalesce("up", c)).drop("up").checkpoint()  # noqa: E731, B023
         edges = lead(lead(edges, "a"), "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-        roots = lead(roots, "root").checkpoint()
+        roots = lead(roots, "root")
     return roots
 
 
@@ -198,39 +201,47 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def _grouped(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(fp, doc_id, component_id, root) of every row; root is a fingerprint that only the rows of one component share."""
     prepare(df.sparkSession)
-    docs = add_fingerprint(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__t")), "__t", keep=["doc_id"]).checkpoint()
+    docs = add_fingerprint(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")), "t", keep=["doc_id"]).checkpoint()
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = components(links(fps))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")).checkpoint()
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "root").select("fp", "component_id", "root")
-    return docs.join(found, "fp", "left")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id")).checkpoint()
+    found = looked_up(named, least, ["root"]).select("fp", "component_id", "root").checkpoint()
+    return looked_up(docs, found, ["fp"])
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that stay when each group of near-duplicates keeps its row with the smallest doc_id.
 
-    Where doc_ids repeat or are null, one row of each group stays still: of equal ids, any one.
-    Groups are told apart by their root, as a smallest doc_id can be that of several.
+    Where doc_ids repeat or are null, one row of each group stays still: of those with the smallest
+    id the one with the least text, in the order of its fingerprint and then of its letters; equal
+    rows that differ elsewhere count as one. Groups are told apart by their root, as a smallest
+    doc_id can be that of several.
     """
     found = _grouped(df, doc_id, text).checkpoint()
+    p = private(df)
     n, ids, named = found.agg(F.count(F.lit(1)), F.countDistinct("doc_id"), F.count("doc_id")).first()
     if n == ids == named:
-        stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-        return df.join(stay, F.col(f"`{doc_id}`") == F.col("__id"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
-    return _keep_one_of_repeated(df, found, doc_id, text)
+        stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(f"{p}id"))
+        return df.join(stay, F.col(f"`{doc_id}`") == F.col(f"{p}id"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    return _keep_one_of_repeated(df, found, doc_id, text, p)
 
 
-def _keep_one_of_repeated(df: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """For ids that are null or repeat: rows are told apart by id and fingerprint, and one of equal ones stays."""
+def _keep_one_of_repeated(df: DataFrame, found: DataFrame, doc_id: str, text: str, p: str) -> DataFrame:
+    """For ids that are null or repeat: rows are told apart by id and fingerprint, and the first of those that share both stays."""
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("s"))
-    stay = least.select(F.col("s.doc_id").alias("__id"), F.col("s.fp").alias("__fp"))
-    marked = add_fingerprint(df, text, "__own")
-    kept = marked.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__own"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    stay = least.select(F.col("s.doc_id").alias(f"{p}id"), F.col("s.fp").alias(f"{p}fp"))
+    marked = add_fingerprint(df, text, f"{p}own")
+    kept = marked.join(stay, F.col(f"`{doc_id}`").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}own") == F.col(f"{p}fp")), "left_semi")
+    rest = [c for c in df.columns if c not in (doc_id, text)]
+    whole = F.struct(F.col(f"`{text}`").alias("t"), *[F.xxhash64(F.col(f"`{c}`")).alias(f"h{i}") for i, c in enumerate(rest)], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    one = kept.groupBy(F.col(f"`{doc_id}`").alias(f"{p}id"), f"{p}own").agg(F.min_by(whole, F.struct(F.col(f"`{text}`").isNull().alias("n"), F.col(f"`{text}`").alias("t"), *[F.xxhash64(F.col(f"`{c}`")).alias(f"h{i}") for i, c in enumerate(rest)])).alias(f"{p}row"))
+    at = {doc_id: f"{p}id", text: f"{p}row.t"} | {c: f"{p}row.c{i}" for i, c in enumerate(rest)}
+    return one.select(*[F.col(at[c]).alias(c) for c in df.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text of documents. Null texts have fingerprint zero; see near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
