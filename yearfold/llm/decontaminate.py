@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import BROADCAST_BYTES, looked_up, prepare, private, table
 
 WINDOW = 10
-BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # What words of the contract leave out, before letters are lowered.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -52,38 +51,40 @@ def _contamination(docs: DataFrame, items: DataFrame, doc_id: str, text: str, it
     """contamination with th, the hash of the text, which tells rows of one doc_id apart."""
     prepare(docs.sparkSession)
     named = item_windows(items, item_id, item_text, window).checkpoint()
-    wins = named.select("ws").distinct()
+    wins = named.select("ws").distinct().withColumn("win", F.monotonically_increasing_id()).checkpoint()  # fixed by the checkpoint
     size = named.agg(F.sum(F.expr("aggregate(ws, 32L, (a, w) -> a + 24 + octet_length(w))"))).first()[0] or 0
     small = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
 
     words = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), pieces(F.col(f"`{text}`")).alias("ps"))
     vocabulary = wins.select(F.explode("ws").alias("w")).select(F.lower("w").alias("key")).distinct()
     # outer: else the texts are split once more for a filter on the number of words
-    common = words.select(F.explode_outer("ps").alias("w")).select(F.lower("w").alias("key")).join(small(vocabulary), "key", "left_semi").groupBy("key").count()
-    rank = wins.select("ws", F.posexplode("ws").alias("offset", "w")).withColumn("key", F.lower("w")).join(common, "key", "left")
-    rank = rank.groupBy("ws").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key", "offset")).alias("rarest"))
-    prefix = rank.select(F.array_join("ws", " ").alias("win_text"), F.size("ws").alias("n"), F.xxhash64("ws").alias("win"), "rarest.key", "rarest.offset").checkpoint()
+    common = words.select(F.explode_outer("ps").alias("w")).select(F.lower("w").alias("key")).join(small(vocabulary), "key", "left_semi").groupBy("key").count().checkpoint()
+    each = wins.select("win", F.posexplode("ws").alias("offset", "w")).select("win", "offset", F.lower("w").alias("key")).checkpoint()
+    rank = looked_up(each, common, ["key"])  # frequent words are no hot keys
+    rank = rank.groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "key", "offset")).alias("rarest"))
+    prefix = rank.join(wins, "win").select(F.array_join("ws", " ").alias("win_text"), F.size("ws").alias("n"), "win", "rarest.key", "rarest.offset").checkpoint()
 
-    # one row more for each document, so that those without hits stay too
     spaced = words.withColumn("n_words", F.size("ps") - (F.element_at("ps", 1) == "").cast("int") - ((F.size("ps") > 1) & (F.element_at("ps", -1) == "")).cast("int"))
-    spread = spaced.select("doc_id", "th", "n_words", "ps", F.posexplode(F.concat("ps", F.array(F.lit(END)))).alias("pos", "w"))
-    probe = prefix.union(docs.sparkSession.sql(f"SELECT CAST(NULL AS STRING), 0, CAST(NULL AS LONG), '{chr(92)}n', 0"))
     # No lambda here: with one, Spark would leave generated code and copy the whole array for each word.
     here = lowered(F.array_join(F.slice("ps", F.col("pos") - F.col("offset") + 1, F.col("n")), " "))
     fits = (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("n") <= F.size("ps"))
-    exact = F.when(F.col("win").isNull(), True).when(fits, here == F.col("win_text")).otherwise(False)
+    start = F.col("pos") - F.col("offset")
+    hit = F.when(F.col("win").isNotNull(), F.struct(start.alias("a"), (start + F.col("n")).alias("b"))).alias("hit")
     if size <= BROADCAST_BYTES:
-        found = spread.withColumn("key", F.lower("w")).join(F.broadcast(probe), "key").where(exact)
-    else:  # the words' positions travel without the documents, which join again to verify
-        keys = spread.select("doc_id", "th", "n_words", "pos", F.lower("w").alias("key"))
-        near = keys.join(probe, "key").where((F.col("pos") >= F.col("offset")) | F.col("win").isNull())
+        # one row more for each document, so that those without hits stay too
+        spread = spaced.select("doc_id", "th", "n_words", "ps", F.posexplode(F.concat("ps", F.array(F.lit(END)))).alias("pos", "w"))
+        probe = prefix.union(docs.sparkSession.sql(f"SELECT CAST(NULL AS STRING), 0, CAST(NULL AS LONG), '{chr(92)}n', 0"))
+        exact = F.when(F.col("win").isNull(), True).when(fits, here == F.col("win_text")).otherwise(False)
+        found = spread.withColumn("key", F.lower("w")).join(F.broadcast(probe), "key").where(exact).select("doc_id", "th", "n_words", "win", hit)
+    else:  # the words' positions travel without the documents, which join again to verify; rows of documents without hits stay out of the joins
+        keys = spaced.select("doc_id", "th", "n_words", F.posexplode("ps").alias("pos", "w")).select("doc_id", "th", "n_words", "pos", F.lower("w").alias("key"))
+        near = keys.join(prefix, "key").where(F.col("pos") >= F.col("offset"))
         whole = words.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "ps").dropDuplicates(["d", "t"])
-        found = near.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).where(exact)
-    start = F.col("pos") - F.col("offset")
-    found = found.select("doc_id", "th", "n_words", "win", F.when(F.col("win").isNotNull(), F.struct(start.alias("a"), (start + F.col("n")).alias("b"))).alias("hit"))
+        found = near.join(whole, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t"))).where(F.when(fits, here == F.col("win_text")).otherwise(False)).select("doc_id", "th", "n_words", "win", hit)
+        found = found.union(spaced.select("doc_id", "th", "n_words", F.lit(None).cast("long"), F.lit(None).cast("struct<a: int, b: int>")))
     per = found.groupBy("doc_id", "th", "n_words").agg(F.collect_set("hit").alias("hits"), F.collect_set("win").alias("wins"), F.count_if(F.col("win").isNull()).alias("copies")).checkpoint()
 
-    of = named.where("item IS NOT NULL").select(F.xxhash64("ws").alias("win"), "item")
+    of = named.where("item IS NOT NULL").join(wins, "ws").select("win", "item")
     items_of = per.select("doc_id", "th", F.explode("wins").alias("win")).join(of, "win").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     items_of = items_of.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "items")
     merged = F.expr("""aggregate(array_sort(hits), CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>), (m, h) ->
@@ -99,11 +100,13 @@ def _contamination(docs: DataFrame, items: DataFrame, doc_id: str, text: str, it
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents in which no window of an item occurs. Rows that share a doc_id, or have none, are judged each by its own text."""
-    hit = _contamination(docs, items, doc_id, text, item_id, item_text, window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__th")), "left_anti")
+    p = private(docs)
+    hit = _contamination(docs, items, doc_id, text, item_id, item_text, window).where("n_hit > 0").select(F.col("doc_id").alias(f"{p}id"), F.col("th").alias(f"{p}th")).distinct()
+    return docs.join(hit, F.col(f"`{doc_id}`").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col(f"{p}th")), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Words of every whole text of documents that windows of benchmark items cover. Null texts have no words; see contamination."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
