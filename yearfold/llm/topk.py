@@ -1,4 +1,10 @@
-"""Exact top-k search by inner product: a ball tree per shard, searched by branch and bound."""
+"""Exact top-k search by inner product: a ball tree per shard, searched by branch and bound.
+
+Shards are the leaves of a tree of cuts, fitted on a bounded sample, so that near vectors share
+one; all rows are dealt to them and each gets its own ball. A query first meets the shard with the
+highest inner-product upper bound; its kth score there is its floor. It then goes to those shards
+only whose bound reaches the floor: the others are skipped before anything is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import looked_up, prepare, table
 
 K, SCALE, EVERY = 10, 1024, 100
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 16384, 128
+MOST_SHARDS, SAMPLE_ROWS = 4096, 1 << 15  # both of what the driver holds: balls, and vectors to fit the cuts on
 LOW, NO_ID = np.iinfo(np.int64).min // 2, np.iinfo(np.int64).max
 
 
@@ -86,56 +93,138 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     return best, best_id
 
 
+class Cuts:
+    """Halvings along the widest component, as a complete binary tree; a vector's leaf tells its shard."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.component = np.zeros((1 << depth) - 1, dtype=np.int64)
+        self.least = np.full((1 << depth) - 1, np.iinfo(np.int64).max)
+        held = {0: sample}
+        for node in range(len(self.component)):
+            x = held.pop(node)
+            if len(x) > 1:
+                c = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
+                self.component[node], self.least[node] = c, int(np.median(x[:, c])) + 1
+            right = x[:, self.component[node]] >= self.least[node] if len(x) else np.zeros(0, dtype=bool)
+            held[2 * node + 1], held[2 * node + 2] = x[~right], x[right]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), dtype=np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.component[node]] >= self.least[node])
+        return node - len(self.component)
+
+
+def upper_bounds(q: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Of the inner products of each query with what lies in each ball, a little above what rounding may lose."""
+    norm = np.sqrt((q**2).sum(axis=1))
+    ub = q @ centre.T + norm[:, None] * radius
+    return ub + 1 + 1e-9 * (np.abs(ub) + norm[:, None] * np.sqrt((centre**2).sum(axis=1)))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", vector: str = "vector", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k highest integer inner products of each query.
 
     Both tables hold ids and arrays of long. Equal scores go to the smaller id; rows with the
-    query's own id are no candidates; fewer candidates give fewer rows. Rows with a null id take
-    no part. Vectors meet only vectors of their own length. Repeated candidate rows each count;
-    repeated equal query rows count once. Candidates are dealt to shards and queries to blocks,
-    both of bounded size; the first shard's kth scores are the floors of the search of the rest.
+    query's own id are no candidates; fewer candidates give fewer rows. Rows with a null id or vector
+    take no part. Vectors meet only vectors of their own length. Repeated candidate rows each count;
+    repeated equal query rows count once. Shards hold about shard_rows rows, more where there would
+    be over MOST_SHARDS; equal vectors are split by id. Empty tables give an empty result.
     """
     prepare(vectors.sparkSession)
-    shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    c = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL")
-    c = c.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    q = queries.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL").distinct()
-    q = q.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("long").alias("floor"))
+    take = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
+    c, q = take(vectors), take(queries).distinct().withColumn("of", F.xxhash64("v")).checkpoint()
+    # one search for each length of vectors: there is one, as a rule
+    found = [_of_one_length(c.where(F.col("dim") == r.dim), q.where(F.col("dim") == r.dim), r.dim, r.n, k, shard_rows) for r in c.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()]
+    best = vectors.sparkSession.createDataFrame([], "query_id long, of long, vec_id long, score long")
+    for f in found:
+        best = best.union(f)
+    w = Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_one_length(c: DataFrame, q: DataFrame, dim: int, n: int, k: int, shard_rows: int) -> DataFrame:
+    depth = max(0, int(np.ceil(np.log2(min(MOST_SHARDS, max(1, -(-n // shard_rows)))))) if dim else 0)
+    some = c.orderBy(F.xxhash64("id", "v")).limit(SAMPLE_ROWS) if depth else c.limit(0)  # a documented bound; only the cuts depend on it
+    cuts = Cuts(matrix(some.select("v").toArrow(), dim), depth)
+
+    def dealt(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cuts.leaf(matrix(t, dim)).astype(np.int32))], names=[*b.schema.names, "leaf"])
+
+    c = c.select("id", "v").mapInArrow(dealt, "id long, v array<long>, leaf int")
+    sizes = c.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # MOST_SHARDS rows at most
+    room = max(shard_rows, -(-n // MOST_SHARDS)) * 2
+    first, parts = {}, {}
+    for r in sorted(sizes, key=lambda r: r.leaf):
+        first[r.leaf], parts[r.leaf] = sum(parts.values()), -(-r.n // room)
+    split = c.sparkSession.createDataFrame([(leaf, first[leaf], parts[leaf]) for leaf in first], "leaf int, first int, parts int")
+    c = c.join(F.broadcast(split), "leaf").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("parts"))).cast("int").alias("shard"))
+
+    def ball(t):
+        x = matrix(t, dim).astype(np.float64)
+        centre = x.mean(axis=0)
+        return pa.table({"shard": t.column("shard")[:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))]})
+
+    balls = c.groupBy("shard").applyInArrow(ball, "shard int, centre array<double>, radius double").toArrow().sort_by("shard")  # 2 * MOST_SHARDS at most
+    shards = balls.column("shard").to_numpy()
+    centre, radius = np.array(balls.column("centre").to_pylist(), dtype=np.float64).reshape(len(shards), dim), balls.column("radius").to_numpy()
 
     def kernel(left, right):
         if not left.num_rows or not right.num_rows:
             return FOUND.empty_table()
-        x, y = matrix(left), matrix(right)
         floor = right.column("floor").fill_null(LOW).to_numpy()
         ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        best, best_id = search(ids, x, query_ids, y, floor, k)
+        best, best_id = search(ids, matrix(left, dim), query_ids, matrix(right, dim), floor, k)
         row, place = np.nonzero(best > LOW)
         return pa.table({"query_id": query_ids[row], "of": right.column("of").to_numpy()[row], "vec_id": best_id[row, place], "score": best[row, place]}, schema=FOUND)
 
-    def meet(cands: DataFrame, qs: DataFrame) -> DataFrame:
-        keys = ["dim", "shard", "block"]
-        spread = cands.select("id", "v", "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        return spread.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInArrow(kernel, "query_id long, of long, vec_id long, score long")
-
-    q = q.withColumn("of", F.xxhash64("v"))
-    pilot = meet(c.where("shard = 0"), q.withColumn("shard", F.lit(0))).checkpoint()
-    if shards > 1:
-        kth = pilot.groupBy("query_id", "of").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-        floors = q.drop("floor").join(kth.select(F.col("query_id").alias("id"), "of", F.col("kth").alias("floor")), ["id", "of"], "left")
-        rest = floors.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-        pilot = pilot.union(meet(c.where("shard > 0"), rest))
-    w = Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id")
-    return pilot.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def sent(pilot):
+        """Queries with each shard they go to: the one with the highest bound, or the others whose bound reaches the floor."""
+
+        def run(batches):
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                ub = upper_bounds(matrix(t, dim).astype(np.float64), centre, radius)
+                top = ub.argmax(axis=1)
+                if pilot:
+                    row, at = np.arange(len(ub)), top
+                else:
+                    ok = ub >= t.column("floor").fill_null(LOW).to_numpy()[:, None]
+                    ok[np.arange(len(ub)), top] = False
+                    row, at = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(row)) for x in ("id", "v", "of", "floor")), pa.array(shards[at].astype(np.int32), pa.int32())], names=["id", "v", "of", "floor", "shard"])
+
+        return run
+
+    def meet(qs: DataFrame) -> DataFrame:
+        """Shards with the queries sent to them, these in blocks; a shard goes once to each of its blocks."""
+        qs = qs.checkpoint()
+        blocks = qs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))  # as many rows as balls
+        qs = qs.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+        cands = c.join(F.broadcast(blocks), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = ["shard", "block"]
+        return cands.select("id", "v", *keys).groupBy(*keys).cogroup(qs.select("id", "v", "of", "floor", *keys).groupBy(*keys)).applyInArrow(kernel, "query_id long, of long, vec_id long, score long")
+
+    shape = "id long, v array<long>, of long, floor long, shard int"
+    q = q.select("id", "v", "of", F.lit(None).cast("long").alias("floor"))
+    pilot = meet(q.mapInArrow(sent(True), shape)).checkpoint()
+    if len(shards) < 2:
+        return pilot
+    kth = pilot.groupBy("query_id", "of").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    floors = looked_up(q.drop("floor"), kth.select(F.col("query_id").alias("id"), "of", "floor").checkpoint(), ["id", "of"])
+    return pilot.union(meet(floors.select("id", "v", "of", "floor").mapInArrow(sent(False), shape)))
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("of", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def matrix(t: pa.Table) -> np.ndarray:
+def matrix(t: pa.Table, dim: int) -> np.ndarray:
     v = t.column("v").combine_chunks()
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
-    return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1 if t.num_rows and len(v.flatten()) else 0)
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(t.num_rows, dim)
 
 
 def quantized(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -146,6 +235,7 @@ def quantized(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
 
 
 def op5_topk(spark, sf_dir: str) -> DataFrame:
+    """The highest inner products of every hundredth vector of embeddings with all others; see quantized and top_k."""
     vectors = quantized(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
