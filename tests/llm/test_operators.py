@@ -316,7 +316,41 @@ def test_topk(spark):
         best = sorted((-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i)[:10]
         want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
     assert got == sorted(want)
-    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [topk.MOST_SHARDS, 4])
+def test_topk_shards(spark, monkeypatch, limit):
+    """Clusters, a vector that a third of the rows share, two lengths, blocks of few queries."""
+    monkeypatch.setattr(topk, "MOST_SHARDS", limit)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.integers(-40, 40, (300, 6)) + 300 * r.integers(-1, 2, (300, 1)), np.tile([[5, 9, -3, 0, 1, 7]], (150, 1))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, r.integers(-9, 9, 3).tolist()) for i in range(25)] + [(2000, []), (2001, None)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    q = df.where("vec_id % 5 = 0")
+    got = sorted(map(tuple, topk.top_k(df, q.union(q), k=4, shard_rows=20).collect()))
+    want = []
+    for i, v in rows:
+        if i % 5 == 0 and v is not None:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i and w is not None and len(w) == len(v))[:4]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_topk_skips_shards(spark):
+    """Queries of a far cluster go to few shards."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(0, 10, (4000, 8)) + 1000 * np.eye(8)[i % 8] * (1 if i % 2 else -1) for i in range(4)]).astype(np.int64)
+    tree = topk.Cuts(x, 4)
+    leaf = tree.leaf(x)
+    centre = np.array([x[leaf == i].mean(axis=0) for i in range(16)])
+    radius = np.array([np.sqrt(((x[leaf == i] - centre[i]) ** 2).sum(axis=1).max()) for i in range(16)])
+    ub = topk.upper_bounds(x[:50].astype(float), centre, radius)
+    scores = x[:50] @ x.T
+    for i in range(50):
+        assert all(scores[i][leaf == b].max() <= ub[i, b] for b in range(16))
+        assert (ub[i] >= np.sort(scores[i])[-10]).sum() <= 8
 
 
 def test_html(spark):
@@ -454,3 +488,53 @@ def test_licenses_whole_texts_and_headers(spark):
     df = spark.createDataFrame([(i, p, t) for i, (p, _, t) in enumerate(rows)], "doc_id long, path string, text string")
     got = {r.path: (r.license, r.origin) for r in licenses.scan(df, F.col("path")).collect()}
     assert got == {p: (n, "inherited" if p.endswith("x.py") else "own" if n else "none") for p, n, _ in rows}
+
+
+def test_html_deep_and_long_pages(spark):
+    """A hundred thousand nested elements, and as many in a row, in seconds."""
+    import time
+
+    field = html_text.trained()
+    began = time.time()
+    deep = html_text.blocks("<article>" + "<div class='a b'><p>x</p>" * 100_000)
+    assert len(deep) == 100_000 and deep[-1][1] >= {"in:div", "in:p", "c:a", "c:b", "in:article"}
+    assert len(field.decode(html_text.blocks("<td><div>" + "<main>" * 50_000 + "<td>x</td>" * 50_000, field.weights))) == 50_000
+    assert field.text("<article>" + "<p>Ten words of text stand here, in a row.</p>" * 100_000).count("Ten") == 100_000
+    assert time.time() - began < 60
+
+
+def test_viterbi_and_likelihood():
+    """Decoding against all labellings; and the gradient stops at the most likely weights."""
+    import itertools
+
+    r = random.Random(13)
+    field = html_text.Field({f"w{i}": r.uniform(-2, 2) for i in range(9)} | {"bias": 0.1}, [[r.uniform(-1, 1) for _ in range(2)] for _ in range(2)])
+    for n in range(9):
+        found = [(f"text {i}", frozenset(r.sample([f"w{i}" for i in range(9)], 3)), 0) for i in range(n)]
+        u = field.unary(found)
+        score = lambda ys, u=u: sum(x for x, y in zip(u, ys, strict=True) if y) + sum(field.moves[a][b] for a, b in itertools.pairwise(ys))
+        best = max(itertools.product((0, 1), repeat=n), key=score)
+        assert score([int(y) for y in field.decode(found)]) == pytest.approx(score(best))
+
+
+@pytest.mark.parametrize("operator", ["secrets", "bpe", "simhash", "decontaminate", "toxicity", "licenses", "quality", "html", "substrings", "fingerprint"])
+def test_clashing_columns(spark, operator):
+    """Columns named like an operator's own stay as they were, whatever their case."""
+    rows = [(i, f"{passage(i, 30)} token = 'abcdefghijkl{i}'", "en", "s") for i in range(6)] + [(6, P, "en", "s"), (7, P, "en", "s"), (None, None, None, None)]
+    own = ["base", "added", "__id", "__text", "__t", "IDS", "Decoded", "__whole", "__own", "__fp", "win", "key", "h", "units", "known", "low", "PATH", "dir", "n", "__", "P_Toxic", "toxic", "chunk", "leaf"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, P)], "item_id long, text string")
+    run = {
+        "secrets": lambda: secrets.redact(df), "bpe": lambda: bpe.encode_decode(df), "simhash": lambda: simhash.keep_one(df.union(df)), "decontaminate": lambda: decontaminate.clean(df, bench),
+        "toxicity": lambda: toxicity.clean(df, labels), "licenses": lambda: licenses.scan(df, F.concat_ws("/", "source", "lang")), "quality": lambda: quality.score(df, labels),
+        "html": lambda: html_text.extract(df, "text"), "substrings": lambda: substrings.remove_repeats(df), "fingerprint": lambda: simhash.near_duplicates(df),
+    }[operator]
+    out = run()
+    got = out.collect()
+    assert got
+    kept = [c for c in own if c in out.columns and operator in ("secrets", "simhash", "decontaminate", "toxicity", "bpe", "html")]
+    assert len(kept) >= (20 if operator in ("secrets", "simhash", "decontaminate", "toxicity", "bpe", "html") else 0)
+    for row in got:
+        for c in kept:
+            assert row[c] == (None if row.doc_id is None else f"{c}{row.doc_id}")

@@ -13,6 +13,7 @@ import html
 import random
 import re
 from functools import lru_cache
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import prepare, private, table
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -32,35 +33,72 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 P_ENDS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, ancestor features, characters inside links) of each leaf block, in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out, held, linked, path = [], [], 0, ()
+class Open:
+    """The open elements: where each tag stands, and the features of all of them, kept up as they come and go."""
+
+    def __init__(self, known):
+        self.known, self.stack, self.places, self.count, self.path = known, [], {}, {}, frozenset()
+
+    def push(self, tag: str, features: tuple[str, ...]) -> None:
+        features = features if self.known is None else tuple(f for f in features if f in self.known)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, features))
+        for f in features:
+            self.count[f] = self.count.get(f, 0) + 1
+            if self.count[f] == 1:
+                self.path = None
+
+    def last(self, tags) -> int:
+        """The place of the innermost element of these tags, -1 if none is open."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.stack) > place:
+            tag, features = self.stack.pop()
+            self.places[tag].pop()
+            for f in features:
+                self.count[f] -= 1
+                if not self.count[f]:
+                    del self.count[f]
+                    self.path = None
+
+    def features(self) -> frozenset[str]:
+        if self.path is None:
+            self.path = frozenset(self.count)
+        return self.path
+
+
+SCOPE = ("ul", "ol", "table", "article", "div", "section", "body")
+CLOSES = {t: ("p",) for t in P_ENDS} | {t: (t,) for t in ("li", "option", "tr", "td", "th")} | {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "body": ("head",)}
+
+
+def blocks(page: str | None, known=None) -> list[tuple[str, frozenset[str], int]]:
+    """(text, features of the ancestors, characters inside links) of each leaf block, in page order; only known features, if they are given."""
+    opened = Open(known)
+    stack = opened.stack
+    out, held, linked = [], [], 0
 
     def flush():
         nonlocal held, linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((text, path, min(linked, len(text))))
+                out.append((text, opened.features(), min(linked, len(text))))
             held, linked = [], 0
 
-    def repath():
-        nonlocal path
-        path = tuple(f for _, fs in stack for f in fs)
-
     for m in TOKEN.finditer(page or ""):
         s = m[0]
         if s[0] != "<" or s == "<":
             if not any(t == "head" for t, _ in stack[:2]):
                 held.append(s)
-                if linked >= 0 and any(t == "a" for t, _ in stack[-3:]):
+                if any(t == "a" for t, _ in stack[-3:]):
                     linked += len(s.strip())
             continue
         tag = (m[3] or "").lower()
         if not tag:
-            if m[1]:
-                held.append(" ") if held else None
+            if m[1] and held:
+                held.append(" ")
             continue
         if tag in VOID:
             if tag in ("br", "wbr", "img", "input"):
@@ -68,28 +106,18 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             else:
                 flush()
             continue
+        if tag not in INLINE:
+            flush()
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                if tag not in INLINE:
-                    flush()
-                while stack.pop()[0] != tag:
-                    pass
-                repath()
-            elif tag not in INLINE:
-                flush()
+            if (at := opened.last((tag,))) >= 0:
+                opened.cut(at)
             continue
         if tag not in INLINE:
-            flush()
-            closes = {"p"} if tag in P_ENDS else {tag} if tag in ("li", "option", "tr", "td", "th") else {"dt", "dd"} if tag in ("dt", "dd") else {"head"} if tag == "body" else set()
-            scope = {"ul", "ol", "table", "article", "div", "section", "body"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in scope and stack[k][0] not in closes:
-                    break
-        stack.append((tag, element(tag, m[4] or "")))
-        repath()
+            closes = CLOSES.get(tag, ())
+            at = opened.last(closes)
+            if at >= 0 and at > opened.last(t for t in SCOPE if t not in closes):
+                opened.cut(at)
+        opened.push(tag, element(tag, m[4] or ""))
     flush()
     return out
 
@@ -115,14 +143,14 @@ class Field:
 
     def __init__(self, weights: dict[str, float], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
-        self.paths: dict[tuple[str, ...], float] = {}
+        self.paths: dict[frozenset[str], float] = {}
 
     def unary(self, found) -> list[float]:
         w, out = self.weights, []
         for i, (text, path, linked) in enumerate(found):
             p = self.paths.get(path)
             if p is None:
-                p = sum(w.get(f, 0.0) for f in set(path))
+                p = fsum(w.get(f, 0.0) for f in path)
                 if len(self.paths) < 1 << 14:
                     self.paths[path] = p
             out.append(p + sum(w.get(f, 0.0) for f in text_features(text, linked, i, len(found))) + w.get("bias", 0.0))
@@ -148,7 +176,7 @@ class Field:
         return [bool(x) for x in reversed(out)]
 
     def text(self, page: str | None) -> str:
-        found = blocks(page)
+        found = blocks(page, self.weights)
         return "\n\n".join(t for (t, _, _), y in zip(found, self.decode(found), strict=True) if y)
 
 
@@ -161,7 +189,7 @@ def train(pages: list[tuple[str, list[bool]]], epochs: int = 120, rate: float =
         if len(found) != len(labels):
             raise ValueError(f"page {s}: {len(found)} blocks, {len(labels)} labels")
         for i, ((text, path, linked), y) in enumerate(zip(found, labels, strict=True)):
-            for f in {*path, *text_features(text, linked, i, len(found)), "bias"}:
+            for f in sorted({*path, *text_features(text, linked, i, len(found)), "bias"}):
                 rows.append(len(gold))
                 feats.append(index.setdefault(f, len(index)))
             gold.append(int(y))
@@ -286,16 +314,16 @@ def trained(pages: int = 400) -> Field:
 def extract(df: DataFrame, page: str = "html", keep: list[str] | None = None, field: Field | None = None) -> DataFrame:
     """Adds text, the blocks of the article joined by blank lines, and n_chars, its code points.
 
-    keep names the columns carried along (all but the page by default); columns of the new names
-    are replaced. A null or empty page, and one without an article, gives an empty text; pages that
+    keep names the columns carried along (all but the page by default); columns of the new names,
+    in any case, are replaced. A null or empty page, and one without an article, gives an empty text; pages that
     break off are read as far as they go. Rows are handled one by one: repeated ones stay.
     """
     prepare(df.sparkSession)
     field = field or trained()
     field.paths.clear()
     new = ["text", "n_chars"]
-    kept = [c for c in (keep or [c for c in df.columns if c != page]) if c not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{page}`").alias("__page"))
+    kept = [c for c in (keep or [c for c in df.columns if c != page]) if c.lower() not in new]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{page}`").alias(private(df) + "page"))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
@@ -307,4 +335,5 @@ def extract(df: DataFrame, page: str = "html", keep: list[str] | None = None, fi
 
 
 def op3_html(spark, sf_dir: str) -> DataFrame:
+    """The article's text of every whole page of pages, by the field that trained() fits. Null pages give empty texts; see extract."""
     return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
