@@ -319,10 +319,10 @@ def test_topk(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [topk.MOST_SHARDS, 4])
+@pytest.mark.parametrize("limit", [topk.MOST_LEAVES, 4])
 def test_topk_shards(spark, monkeypatch, limit):
     """Clusters, a vector that a third of the rows share, two lengths, blocks of few queries."""
-    monkeypatch.setattr(topk, "MOST_SHARDS", limit)
+    monkeypatch.setattr(topk, "MOST_LEAVES", limit)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
     r = np.random.default_rng(4)
     x = np.concatenate([r.integers(-40, 40, (300, 6)) + 300 * r.integers(-1, 2, (300, 1)), np.tile([[5, 9, -3, 0, 1, 7]], (150, 1))])

@@ -1,9 +1,10 @@
 """Exact top-k search by inner product: a ball tree per shard, searched by branch and bound.
 
-Shards are the leaves of a tree of cuts, fitted on a bounded sample, so that near vectors share
-one; all rows are dealt to them and each gets its own ball. A query first meets the shard with the
-highest inner-product upper bound; its kth score there is its floor. It then goes to those shards
-only whose bound reaches the floor: the others are skipped before anything is shuffled.
+All rows are dealt to the leaves of a tree of cuts, fitted on a bounded sample, so that near vectors
+share one, and each leaf gets a ball around its own; large leaves are several shards. A query first
+meets the leaf with the highest inner-product upper bound; its kth score there is its floor. It then
+goes to those leaves only whose bound reaches the floor: the others are skipped before anything is
+shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .common import looked_up, prepare, table
 
 K, SCALE, EVERY = 10, 1024, 100
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 16384, 128
-MOST_SHARDS, SAMPLE_ROWS = 4096, 1 << 15  # both of what the driver holds: balls, and vectors to fit the cuts on
+MOST_LEAVES, SAMPLE_ROWS, MODEL_BYTES = 4096, 1 << 15, 32 << 20  # of what the driver holds: balls, and vectors to fit the cuts on
 LOW, NO_ID = np.iinfo(np.int64).min // 2, np.iinfo(np.int64).max
 
 
@@ -100,6 +101,7 @@ class Cuts:
         self.depth = depth
         self.component = np.zeros((1 << depth) - 1, dtype=np.int64)
         self.least = np.full((1 << depth) - 1, np.iinfo(np.int64).max)
+        self.centre = np.zeros((1 << depth, sample.shape[1]))
         held = {0: sample}
         for node in range(len(self.component)):
             x = held.pop(node)
@@ -108,6 +110,9 @@ class Cuts:
                 self.component[node], self.least[node] = c, int(np.median(x[:, c])) + 1
             right = x[:, self.component[node]] >= self.least[node] if len(x) else np.zeros(0, dtype=bool)
             held[2 * node + 1], held[2 * node + 2] = x[~right], x[right]
+        for node, x in held.items():
+            if len(x):
+                self.centre[node - len(self.component)] = x.mean(axis=0)
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype=np.int64)
@@ -129,8 +134,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec
     Both tables hold ids and arrays of long. Equal scores go to the smaller id; rows with the
     query's own id are no candidates; fewer candidates give fewer rows. Rows with a null id or vector
     take no part. Vectors meet only vectors of their own length. Repeated candidate rows each count;
-    repeated equal query rows count once. Shards hold about shard_rows rows, more where there would
-    be over MOST_SHARDS; equal vectors are split by id. Empty tables give an empty result.
+    repeated equal query rows count once. Shards hold about shard_rows rows; leaves that hold more are
+    split by the hash of the row. Empty tables give an empty result.
     """
     prepare(vectors.sparkSession)
     take = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
@@ -145,8 +150,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec
 
 
 def _of_one_length(c: DataFrame, q: DataFrame, dim: int, n: int, k: int, shard_rows: int) -> DataFrame:
-    depth = max(0, int(np.ceil(np.log2(min(MOST_SHARDS, max(1, -(-n // shard_rows)))))) if dim else 0)
-    some = c.orderBy(F.xxhash64("id", "v")).limit(SAMPLE_ROWS) if depth else c.limit(0)  # a documented bound; only the cuts depend on it
+    most = max(1, min(MOST_LEAVES, MODEL_BYTES // (8 * max(1, dim))))
+    depth = int(np.log2(min(most, max(1, -(-n // shard_rows))))) if dim else 0
+    # a documented bound, by the hash of the rows; only the cuts and centres depend on it
+    share = min(1.0, min(SAMPLE_ROWS, MODEL_BYTES // (8 * max(1, dim))) / max(1, n))
+    some = c.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * SAMPLE_ROWS)
     cuts = Cuts(matrix(some.select("v").toArrow(), dim), depth)
 
     def dealt(batches):
@@ -154,23 +162,23 @@ def _of_one_length(c: DataFrame, q: DataFrame, dim: int, n: int, k: int, shard_r
             t = pa.Table.from_batches([b])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cuts.leaf(matrix(t, dim)).astype(np.int32))], names=[*b.schema.names, "leaf"])
 
+    def measured(batches):
+        n, radius = np.zeros(len(cuts.centre), dtype=np.int64), np.zeros(len(cuts.centre))
+        for b in batches:
+            x, leaf = matrix(pa.Table.from_batches([b]), dim), b.column(2).to_numpy()
+            n += np.bincount(leaf, minlength=len(n))
+            np.maximum.at(radius, leaf, np.sqrt(((x - cuts.centre[leaf]) ** 2).sum(axis=1)))
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(n[there]), pa.array(radius[there])], names=["leaf", "n", "radius"])
+
     c = c.select("id", "v").mapInArrow(dealt, "id long, v array<long>, leaf int")
-    sizes = c.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # MOST_SHARDS rows at most
-    room = max(shard_rows, -(-n // MOST_SHARDS)) * 2
-    first, parts = {}, {}
-    for r in sorted(sizes, key=lambda r: r.leaf):
-        first[r.leaf], parts[r.leaf] = sum(parts.values()), -(-r.n // room)
-    split = c.sparkSession.createDataFrame([(leaf, first[leaf], parts[leaf]) for leaf in first], "leaf int, first int, parts int")
-    c = c.join(F.broadcast(split), "leaf").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("parts"))).cast("int").alias("shard"))
-
-    def ball(t):
-        x = matrix(t, dim).astype(np.float64)
-        centre = x.mean(axis=0)
-        return pa.table({"shard": t.column("shard")[:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))]})
-
-    balls = c.groupBy("shard").applyInArrow(ball, "shard int, centre array<double>, radius double").toArrow().sort_by("shard")  # 2 * MOST_SHARDS at most
-    shards = balls.column("shard").to_numpy()
-    centre, radius = np.array(balls.column("centre").to_pylist(), dtype=np.float64).reshape(len(shards), dim), balls.column("radius").to_numpy()
+    balls = c.mapInArrow(measured, "leaf int, n long, radius double").groupBy("leaf").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).toArrow().sort_by("leaf")  # `most` rows
+    leaves, radius = balls.column("leaf").to_numpy(), balls.column("radius").to_numpy() * (1 + 1e-9)
+    parts = -(-balls.column("n").to_numpy() // (2 * shard_rows))
+    first = np.cumsum(parts) - parts
+    centre = cuts.centre[leaves]
+    split = c.sparkSession.createDataFrame(list(zip(leaves.tolist(), first.tolist(), parts.tolist(), strict=True)), "leaf int, first long, parts long")
+    c = c.join(F.broadcast(split), "leaf").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("parts"))).alias("shard"))
 
     def kernel(left, right):
         if not left.num_rows or not right.num_rows:
@@ -182,7 +190,7 @@ def _of_one_length(c: DataFrame, q: DataFrame, dim: int, n: int, k: int, shard_r
         return pa.table({"query_id": query_ids[row], "of": right.column("of").to_numpy()[row], "vec_id": best_id[row, place], "score": best[row, place]}, schema=FOUND)
 
     def sent(pilot):
-        """Queries with each shard they go to: the one with the highest bound, or the others whose bound reaches the floor."""
+        """Queries with each shard they go to: those of the leaf with the highest bound, or of the others whose bound reaches the floor."""
 
         def run(batches):
             for b in batches:
@@ -195,25 +203,28 @@ def _of_one_length(c: DataFrame, q: DataFrame, dim: int, n: int, k: int, shard_r
                     ok = ub >= t.column("floor").fill_null(LOW).to_numpy()[:, None]
                     ok[np.arange(len(ub)), top] = False
                     row, at = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(row)) for x in ("id", "v", "of", "floor")), pa.array(shards[at].astype(np.int32), pa.int32())], names=["id", "v", "of", "floor", "shard"])
+                row, shard = np.repeat(row, parts[at]), np.repeat(first[at], parts[at])
+                shard = shard + np.arange(len(row)) - np.repeat(np.cumsum(parts[at]) - parts[at], parts[at])
+                yield pa.RecordBatch.from_arrays([*(b.column(x).take(pa.array(row)) for x in ("id", "v", "of", "floor")), pa.array(shard.astype(np.int64))], names=["id", "v", "of", "floor", "shard"])
 
         return run
 
     def meet(qs: DataFrame) -> DataFrame:
         """Shards with the queries sent to them, these in blocks; a shard goes once to each of its blocks."""
         qs = qs.checkpoint()
-        blocks = qs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("blocks"))  # as many rows as balls
-        qs = qs.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
-        cands = c.join(F.broadcast(blocks), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocks = qs.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks")).checkpoint()
+        qs = looked_up(qs, blocks, ["shard"], "inner").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")))
+        cands = looked_up(c, blocks, ["shard"], "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         keys = ["shard", "block"]
         return cands.select("id", "v", *keys).groupBy(*keys).cogroup(qs.select("id", "v", "of", "floor", *keys).groupBy(*keys)).applyInArrow(kernel, "query_id long, of long, vec_id long, score long")
 
-    shape = "id long, v array<long>, of long, floor long, shard int"
+    shape = "id long, v array<long>, of long, floor long, shard long"
     q = q.select("id", "v", "of", F.lit(None).cast("long").alias("floor"))
     pilot = meet(q.mapInArrow(sent(True), shape)).checkpoint()
-    if len(shards) < 2:
+    if len(leaves) < 2:
         return pilot
-    kth = pilot.groupBy("query_id", "of").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    best = pilot.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.desc("score")))).where(F.col("place") <= k)
+    kth = best.groupBy("query_id", "of").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     floors = looked_up(q.drop("floor"), kth.select(F.col("query_id").alias("id"), "of", "floor").checkpoint(), ["id", "of"])
     return pilot.union(meet(floors.select("id", "v", "of", "floor").mapInArrow(sent(False), shape)))
 
