@@ -83,33 +83,43 @@ def variants(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.tile(fp, 66)
 
 
-def run_links(key: int, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within a long run of one key, without forming its pairs.
+def run_links(key: int, fp: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that is linked within a long run of one key, without forming its pairs.
 
     Fingerprints that are equal but for two given bits are all within distance two, and of these
     there are four at most. Blanking each pair of bits in which the run's members may differ
-    therefore finds every link; a star per group keeps the groups connected.
+    therefore finds every link; those between what is connected already are left out, and once all
+    is connected, so is the rest of the blanking.
     """
     seg, j = divmod(key >> 32, 33)
     free = [32 * (1 - seg) + b for b in range(32)]
     blank = [(a, b) for i, a in enumerate(free) for b in free[i + 1 :]] if j == 32 else [(32 * seg + j, b) for b in free]
-    links, parent = [], np.arange(len(fp))
+    links, root = [], np.arange(len(fp))
     for a, b in blank:
         masked = fp & ~U((1 << a) | (1 << b))
         order = np.argsort(masked, kind="stable")
         same = masked[order][1:] == masked[order][:-1]
-        if same.any():
-            u, v = order[:-1][same], order[1:][same]
-            new = parent[u] != parent[v]  # links inside what is already one star add nothing
-            u, v = u[new], v[new]
-            links.append((fp[u], fp[v]))
-            for x, y in zip(u.tolist(), v.tolist(), strict=True):
-                low, high = sorted((parent[x], parent[y]))
-                if low != high and high == max(x, y):
-                    parent[high] = low
+        u, v = order[:-1][same], order[1:][same]
+        new = root[u] != root[v]
+        for x, y in zip(u[new].tolist(), v[new].tolist(), strict=True):
+            low, high = sorted((_root(root, x), _root(root, y)))
+            if low != high:
+                root[high] = low
+                links.append((int(fp[x]), int(fp[y])))
+        if new.any():
+            while (root[root] != root).any():
+                root = root[root]
+            if len(links) == len(fp) - 1:
+                break
     return links
 
 
+def _root(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        i = root[i]
+    return int(i)
+
+
 def verify(keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linked fingerprints (lower, higher) among those that share a key."""
     order = np.lexsort((fp, keys))
@@ -125,7 +135,8 @@ def verify(keys: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= MOST_BITS]
         links.append((fp[near], fp[near + d]))
     for k in np.flatnonzero(size > SMALL_RUN).tolist():
-        links += run_links(int(keys[change[k]]), fp[change[k] : change[k + 1]])
+        found = np.array(run_links(int(keys[change[k]]), fp[change[k] : change[k + 1]]), dtype=U).reshape(-1, 2)
+        links.append((found[:, 0], found[:, 1]))
     if not links:
         return np.zeros(0, dtype=U), np.zeros(0, dtype=U)
     a, b = (np.concatenate([x[i] for x in links]) for i in (0, 1))
