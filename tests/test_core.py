@@ -176,6 +176,21 @@ def test_registry(spark, tmp_path):
     assert r.sweep(now + dt.timedelta(days=1)) == []
     assert "no primary key" in related.partition(r, "o", "d")[0].message
     assert related.partition(r, "o", "d")[0].status == "SKIPPED" and r.table("o").kind == "p"
+    with pytest.raises(integrity.IntegrityError):
+        related.remove_config(r, "o")
+    related.unpartition(r, "o")
+    related.add_config(r, "o", "d")
+    assert r.get("config").count() == 1
+    related.remove_config(r, "o")
+    assert r.get("config").isEmpty()
+    r.add("keys", [("public", "o", "o_u", "u", 1, "o", None, None, None, False, True)])
+    with pytest.raises(integrity.IntegrityError):
+        related.add_config(r, "o", "d")
+    with pytest.raises(storage.PartitionError):
+        related.add_config(r, "o", "o")
+    f = tmp_path / "X.xml"
+    f.write_text('<table name="x"><foreign-key name="f" foreignTable="Q"/></table>')
+    assert related.forced(r, [str(f)], "q", dt.datetime(2200, 1, 1)) and not related.forced(r, [str(f)], "q", now) and not related.forced(r, [str(f)], "other", now)
     r.ensure_schema("yearfold_parts")
     assert spark.catalog.databaseExists("yearfold_parts")
     spark.sql("DROP DATABASE yearfold_parts")
@@ -240,11 +255,12 @@ def test_command_line(spark, tmp_path):
     assert "\033[31mFAILURE" in cli.report([storage.Outcome("t", "FAILURE", "x")], plain=False)
 
 
-def test_exclude_filter_file(spark):
+def test_exclude_filter_file(spark, tmp_path):
     import xml.etree.ElementTree as ElementTree
 
     names = spark.createDataFrame([("column", "A<B"), ("trigger", "T"), ("function", "F"), ("primary key", "P"), ("foreign key", "K")], "kind string, name string")
-    found = [(e.tag, e.get("name")) for e in ElementTree.fromstring(rebuild.exclude_xml(names))]
+    rebuild.write_exclude_filter(names, str(tmp_path / "f.xml"))
+    found = [(e.tag, e.get("name")) for e in ElementTree.parse(tmp_path / "f.xml").getroot()]
     assert sorted(found) == [("excludedColumn", "A<B"), ("excludedConstraint", "K"), ("excludedConstraint", "P"), ("excludedFunction", "F"), ("excludedTrigger", "T")]
 
 

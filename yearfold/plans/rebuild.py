@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,11 @@ def exclude_xml(names: DataFrame) -> str:
     return f'<?xml version="1.0"?>\n<vector>\n{body}</vector>\n'
 
 
+def write_exclude_filter(names: DataFrame, path: str) -> None:
+    """The filter's file, on the driver's machine, where builds read it."""
+    Path(path).write_text(exclude_xml(names), encoding="utf-8")
+
+
 def run_summary(outcomes: DataFrame) -> DataFrame:
     """(status, n_tables, n_rows) of a run's outcomes."""
     return outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("n_tables"), F.sum("n_rows").alias("n_rows"))

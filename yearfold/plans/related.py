@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yearfold.functions.scalars import helper_name
-from yearfold.operators import catalog, propagate
-from yearfold.sources import storage
+from yearfold.operators import catalog, integrity, propagate
+from yearfold.sources import definitions, storage
 from yearfold.sources.registry import Registry
 from yearfold.sources.storage import Outcome, PartitionError
 
@@ -159,3 +160,26 @@ def unpartition(registry: Registry, table: str) -> Outcome:
         registry.put("tables", known.withColumn("kind", F.when(own, "r").otherwise(F.col("kind"))).withColumn("field", F.when(own, F.lit(None).cast("string")).otherwise(F.col("field"))))
         registry.remove_config(table)
     return outcome
+
+
+def add_config(registry: Registry, table: str, field: str) -> None:
+    """Configures the table to be partitioned by the field; raises where it has a unique constraint or null keys."""
+    storage.check_field(registry.read(table), field)
+    integrity.check_new_config(registry.read(table), field, registry.has_unique(table))
+    registry.add("config", [(table, field)])
+
+
+def remove_config(registry: Registry, table: str) -> None:
+    """Takes the setting back; raises while the table is partitioned."""
+    integrity.check_config_delete(registry.is_partitioned(table))
+    registry.remove_config(table)
+
+
+def forced(registry: Registry, files: list[str], table: str, now: dt.datetime) -> bool:
+    """Whether definitions that changed since the table was processed refer to it. Then now is noted, so that the same files do not force it again."""
+    last = registry.last_processed(table)
+    since = last.replace(tzinfo=dt.timezone.utc).timestamp() if last else 0.0
+    found = definitions.newer_references(files, table, since)
+    if found:
+        registry.set_processed(table, now)
+    return found
