@@ -16,8 +16,8 @@ Beyond GROUP chunks, what goes to a bucket is first merged over GROUP chunks eac
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ COVER = (3, 6, 7, 12, 14)
 ANCHOR = WINDOW - PERIOD + 1
 CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20, 16 << 20
 GROUP = 1 << 14
+HASH_KEY = "difference-cover"
 U = np.uint64
 
 
@@ -54,15 +55,12 @@ class Words:
     """The words of some documents after each other, with a hash each, and where each document starts."""
 
     def __init__(self, texts: list[str]):
-        docs = [split(t) for t in texts]
-        self.n = np.array([len(d) for d in docs], dtype=np.int64)
+        self.docs = [split(t) for t in texts]
+        self.n = np.array([len(d) for d in self.docs], dtype=np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.n)))
-        flat = [w for d in docs for w in d]
-        coded = pa.array(flat, pa.binary()).dictionary_encode()
-        known = np.array([xxhash.xxh64_intdigest(w, 7) for w in coded.dictionary.to_pylist()], dtype=U)
-        self.hashes = known[coded.indices.to_numpy()] if flat else np.zeros(0, dtype=U)
-        self.bytes = b" ".join(flat)
-        self.at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)) + 1)))
+        flat = np.empty(self.start[-1], dtype=object)
+        flat[:] = [w for d in self.docs for w in d]
+        self.hashes = pd.util.hash_array(flat, hash_key=HASH_KEY, categorize=False).astype(U)  # SipHash
         self.end_of = np.repeat(self.start[1:], self.n)
         self.pos = np.arange(len(flat)) - np.repeat(self.start[:-1], self.n)
         self.runs = windows(self.hashes, ANCHOR)  # every run of anchor length, those across documents too
@@ -84,8 +82,10 @@ class Words:
         least = sliding_least(self.runs, PERIOD)[starts]
         first = np.flatnonzero(np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (least[1:] != least[:-1]))))
         count = np.diff(np.concatenate((first, [len(starts)])))
-        a, b = self.at[starts[first]], self.at[starts[first] + count - 1 + WINDOW] - 1
-        return starts[first], count, least[first], [self.bytes[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        joined = b" ".join([b" ".join(d) for d in self.docs if d]) + b" "
+        at = np.concatenate(([0], np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32) + 1))
+        a, b = at[starts[first]], at[starts[first] + count - 1 + WINDOW] - 1
+        return starts[first], count, least[first], [joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
 def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -342,14 +342,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if answers.num_rows:
             near = gathered(anchors)
             for s in slices(t.column("text")):
-                first, count, route, texts = Words(s).extended(near)
-                held.append((first, count, sent.add(route, texts)))
+                words = Words(s)
+                first, _, route, texts = words.extended(near)
+                held.append((words.docs, first, sent.add(route, texts)))
         bits = sent.bits(answers) if held else {}
         n_words, removed, kept = [], [], []
-        for i, s in enumerate(slices(t.column("text"))):
-            docs = [split(x) for x in s]
+        for docs, first, numbers in held or (([split(x) for x in s], [], []) for s in slices(t.column("text"))):
             ends = np.cumsum([len(d) for d in docs])
-            starts = [f + np.flatnonzero(bits[k]) for f, _, k in zip(*held[i], strict=True) if k in bits] if held else []
+            starts = [f + np.flatnonzero(bits[k]) for f, k in zip(first, numbers, strict=True) if k in bits]
             gone = covered(int(ends[-1]), np.concatenate(starts), 0, WINDOW) if starts else None
             for words, b in zip(docs, ends.tolist(), strict=True):
                 out = gone[b - len(words) : b] if gone is not None else None
