@@ -2,11 +2,11 @@
 
 The categories are 0/1 columns of a labels table, predicted one after the other, each by a linear
 model that also sees the probabilities of the earlier ones. The corpus labels quality and toxicity;
-from them come `low_quality`, `toxic` and `toxic_junk` (both). Features are whether a text holds a
-word or a beginning of one, by hash; each model chooses its own. Earlier probabilities used in
-training are out of fold, and so is the choice of features for them. Models are fitted on the
-driver, on at most SAMPLE labelled rows of each class of the last but one category and SAMPLE_BYTES
-of text. All documents are scored, on their whole texts.
+from them come `low_quality`, `toxic` and `toxic_junk` (both). Features are statistics of the text,
+and whether it holds a word or a beginning of one, by hash; each model chooses its own words.
+Earlier probabilities used in training are out of fold, and so are the choice of words and the
+scale of statistics for them. Models are fitted on the driver, on at most SAMPLE labelled rows of
+each class of `toxic` and SAMPLE_BYTES of text. All documents are scored, on their whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from .common import prepare, private, table
 from .linear import fit, labelled_sample, predict
+from .quality import CLIP, expanded, statistics
 
 CATEGORIES = ("low_quality", "toxic", "toxic_junk")
 SAMPLE, SAMPLE_BYTES, FEATURES, FOLDS = 2500, 64 << 20, 256, 4
@@ -80,12 +81,17 @@ class Marks:
         return x
 
 
+def scaled(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Statistics of about the size of a rare word's presence, as large ones would slow the descent for all."""
+    return expanded(np.clip((stats - mean) / scale, -CLIP, CLIP)).astype(np.float32) / 4
+
+
 class Chain:
-    """links: (chosen buckets, coefficients) of each category; the coefficients of the earlier probabilities come after those of the buckets."""
+    """links: (chosen buckets, mean and scale of the statistics, coefficients) of each category; coefficients are of buckets, statistics, earlier probabilities."""
 
-    def __init__(self, links: list[tuple[np.ndarray, np.ndarray]]):
-        self.every = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[c for c, _ in links]]))
-        self.links = [(np.searchsorted(self.every, c), beta) for c, beta in links]
+    def __init__(self, links: list[tuple]):
+        self.every = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[link[0] for link in links]]))
+        self.links = [(np.searchsorted(self.every, chosen), *rest) for chosen, *rest in links]
         self.column = {b: i for i, b in enumerate(self.every.tolist())}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -110,9 +116,10 @@ class Chain:
         x = np.zeros((len(texts), len(self.every)))
         for i, t in enumerate(texts):
             x[i, self.columns(words_of(t))] = 1
-        out = np.zeros((len(texts), 0))
-        for chosen, beta in self.links:
-            out = np.concatenate([out, predict(beta, np.concatenate([x[:, chosen], out], axis=1))[:, None]], axis=1)
+        out, stats = np.zeros((len(texts), 0)), statistics(texts)
+        for chosen, mean, scale, beta in self.links:
+            p = predict(beta, np.concatenate([x[:, chosen], scaled(stats, mean, scale), out], axis=1))
+            out = np.concatenate([out, p[:, None]], axis=1)
         return out
 
 
@@ -126,19 +133,19 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None
     keep = one_of_copies(texts, labels)
     texts, labels = [texts[i] for i in keep], labels[keep]
     weight = np.ones(len(keep)) if weight is None else np.asarray(weight, dtype=float)[keep]
-    marks, fold, n = Marks(texts), folds_of(texts), len(texts)
+    marks, stats, fold, n = Marks(texts), statistics(texts), folds_of(texts), len(texts)
     earlier, links = np.zeros((n, 0), dtype=np.float32), []
     for k in range(labels.shape[1]):
         y, out = labels[:, k], np.empty(n)
 
         def model(rows, y=y, earlier=earlier):
-            chosen = marks.choose(y, rows)
-            x = np.concatenate([marks.dense(chosen, n), earlier], axis=1)
-            return chosen, fit(x[rows], y[rows], weight=weight[rows]), x
+            chosen, mean, scale = marks.choose(y, rows), stats[rows].mean(axis=0), stats[rows].std(axis=0) + 1e-6
+            x = np.concatenate([marks.dense(chosen, n), scaled(stats, mean, scale), earlier], axis=1)
+            return chosen, mean, scale, fit(x[rows], y[rows], weight=weight[rows]), x
 
-        links.append(model(np.ones(n, dtype=bool))[:2])
+        links.append(model(np.ones(n, dtype=bool))[:4])
         for f in np.unique(fold) if k < labels.shape[1] - 1 else ():
-            _, beta, x = model(fold != f)
+            *_, beta, x = model(fold != f)
             out[fold == f] = predict(beta, x[fold == f])
         earlier = np.concatenate([earlier, out[:, None].astype(np.float32)], axis=1)
     return Chain(links)
@@ -210,8 +217,13 @@ def brute_force(texts: list[str], labels: list[list[int]], held: list[str]) -> l
     texts, labels = [texts[i] for i in keep], [labels[i] for i in keep]
     has = lambda t: {b for w in words_of(t) for b in buckets_of(w)}
     own, fold = [has(t) for t in texts], [zlib.crc32(t.encode()) % FOLDS for t in texts]
+    stats = statistics(texts).tolist()
     earlier, links = [[] for _ in texts], []
 
+    def row(held, chosen, mean, scale, numbers, before):
+        z = [max(-CLIP, min(CLIP, (v - m) / d)) for v, m, d in zip(numbers, mean, scale, strict=True)]
+        return [float(b in held) for b in chosen] + [v / 4 for v in z] + [v * v / 16 for v in z] + before
+
     def model(rows, k):
         ones, noes = [own[i] for i in rows if labels[i][k]], [own[i] for i in rows if not labels[i][k]]
         n1, n0, scored = max(1, len(ones)), max(1, len(noes)), []
@@ -221,22 +233,25 @@ def brute_force(texts: list[str], labels: list[list[int]], held: list[str]) -> l
             if c1 + c0 >= LEAST_TEXTS and c1 / n1 != c0 / n0:
                 scored.append((-((c1 / n1 - c0 / n0) ** 2) / max(p * (1 - p), 1e-9), b))
         chosen = sorted(b for _, b in sorted(scored)[:FEATURES])
-        x = np.array([[float(b in own[i]) for b in chosen] + earlier[i] for i in rows], dtype=np.float32)
-        return chosen, fit(x, np.array([float(labels[i][k]) for i in rows]))
+        columns = list(zip(*[stats[i] for i in rows], strict=True))
+        mean = [sum(c) / len(c) for c in columns]
+        scale = [(sum((v - m) ** 2 for v in c) / len(c)) ** 0.5 + 1e-6 for c, m in zip(columns, mean, strict=True)]
+        x = np.array([row(own[i], chosen, mean, scale, stats[i], earlier[i]) for i in rows], dtype=np.float32)
+        return chosen, mean, scale, fit(x, np.array([float(labels[i][k]) for i in rows]))
 
     for k in range(len(labels[0])):
         links.append(model(range(len(texts)), k))
         new = [0.0] * len(texts)
         for f in set(fold):
-            chosen, beta = model([i for i in range(len(texts)) if fold[i] != f], k)
+            *how, beta = model([i for i in range(len(texts)) if fold[i] != f], k)
             for i in range(len(texts)):
                 if fold[i] == f:
-                    new[i] = float(predict(beta, np.array([[float(b in own[i]) for b in chosen] + earlier[i]], dtype=np.float32))[0])
+                    new[i] = float(predict(beta, np.array([row(own[i], *how, stats[i], earlier[i])], dtype=np.float32))[0])
         earlier = [e + [p] for e, p in zip(earlier, new, strict=True)]
     out = []
     for t in held:
-        s, ps = has(t), []
-        for chosen, beta in links:
-            ps.append(float(predict(beta, np.array([[float(b in s) for b in chosen] + ps]))[0]))
+        s, numbers, ps = has(t), statistics([t])[0].tolist(), []
+        for *how, beta in links:
+            ps.append(float(predict(beta, np.array([row(s, *how, numbers, ps)]))[0]))
         out.append(ps)
     return out
