@@ -538,3 +538,38 @@ def test_clashing_columns(spark, operator):
     for row in got:
         for c in kept:
             assert row[c] == (None if row.doc_id is None else f"{c}{row.doc_id}")
+
+
+def test_very_long_texts(spark):
+    """A word of two million letters, and half a million words, through every operator."""
+    import time
+
+    texts = ["x" * 2_000_000, passage(77, 300_000), "the " * 300_000, P + " Licensed under the Apache License, Version 2.0.\n" * 30_000]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, P)], "item_id long, text string")
+    began = time.time()
+    assert [r.license for r in licenses.scan(df, F.lit("a/b")).where("origin = 'own'").collect()] == ["Apache-2.0"]
+    assert sorted((r.doc_id, r.n_hit > 0) for r in decontaminate.contamination(df, bench).collect()) == [(0, False), (1, False), (2, False), (3, True)]
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() == 4
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(df).collect()}[2] == 300_000
+    assert quality.score(df, labels).count() == toxicity.score(df, labels).count() == 4
+    assert html_text.extract(df, "text").select(F.max("n_chars")).first()[0] <= 2_000_000
+    got = {r.doc_id: r.decoded for r in bpe.encode_decode(df).collect()}
+    assert [got[i] for i in range(4)] == texts
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == dict(enumerate(texts))
+    assert time.time() - began < 300
+
+
+def test_salted_joins_give_the_same(spark, docs, monkeypatch):
+    """Where tables are too large to broadcast, the salted joins give the same rows."""
+    from yearfold.llm import common
+
+    d = labelled(spark, 60).drop("quality", "toxic")
+    path = F.concat_ws("/", "source", (F.col("doc_id") % 4).cast("string"), F.col("doc_id").cast("string"))
+    named = d.withColumn("text", F.when(F.col("doc_id") % 9 == 0, "Released under the MIT License.").otherwise(F.col("text")))
+    labels = labelled(spark, 60).select("doc_id", "quality", "toxic")
+    run = lambda: [sorted(map(str, df.collect())) for df in (simhash.near_duplicates(docs.union(docs)), licenses.scan(named, path), quality.score(d, labels).select("doc_id", F.round("p_quality", 9), F.round("host_posterior", 9), F.round("path_posterior", 9)), decontaminate.contamination(docs, spark.createDataFrame([(1, P)], "item_id long, text string")))]
+    want = run()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert run() == want

@@ -374,6 +374,7 @@ def part_counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def op7_substrings(spark, sf_dir: str) -> DataFrame:
+    """Words of every whole text of documents without passages that repeat. Null texts have no words; see remove_repeats."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept")).alias("kept_sha256"))
 

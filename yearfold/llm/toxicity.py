@@ -144,10 +144,11 @@ def train(texts: list[str], labels: np.ndarray, weight: np.ndarray | None = None
             return chosen, mean, scale, fit(x[rows], y[rows], weight=weight[rows]), x
 
         links.append(model(np.ones(n, dtype=bool))[:4])
-        for f in np.unique(fold) if k < labels.shape[1] - 1 else ():
-            *_, beta, x = model(fold != f)
-            out[fold == f] = predict(beta, x[fold == f])
-        earlier = np.concatenate([earlier, out[:, None].astype(np.float32)], axis=1)
+        if k < labels.shape[1] - 1:
+            for f in np.unique(fold):
+                *_, beta, x = model(fold != f)
+                out[fold == f] = predict(beta, x[fold == f])
+            earlier = np.concatenate([earlier, out[:, None].astype(np.float32)], axis=1)
     return Chain(links)
 
 
