@@ -8,6 +8,7 @@ from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import functions as F
 
+from yearfold import cli
 from yearfold.functions import scalars
 from yearfold.operators import catalog, integrity, propagate
 from yearfold.plans import rebuild, related
@@ -31,6 +32,8 @@ CASES = "VALUES ('new', 'N', true, CAST(NULL AS BOOLEAN)), ('new', 'N', false, N
 FILES = "VALUES (0, 'modules/one/tables/LINE.xml', 'line', 'id', 'DECIMAL', 'line_pk'), (0, 'modules/one/tables/LINE.xml', 'line', 'order_id', 'VARCHAR', 'line_pk'), (1, 'modules/two words/tables/SHIP.xml', 'ship', 'id', 'CHAR', 'ship_pk'), (1, 'modules/two words/tables/SHIP.xml', 'line', 'twin', 'CHAR', 'twin_pk'), (2, 'modules/one/modifiedTables/LINE.xml', 'line', 'ORDER_ID', 'CLOB', 'other_pk'), (2, 'modules/one/modifiedTables/LINE.xml', 'line', 'extra', 'DATE', 'other_pk'), (3, 'modules_core/tables/LINE.xml', 'orders', 'id', 'INTEGER', 'orders_pk'), (4, 'tables/ITEM.xml', 'item', 'id', 'BLOB', 'item_pk')"
 XML_KEYS = "VALUES (0, 'line', 'FK_Order', 'Orders'), (0, 'line', 'fk_part', 'part'), (1, 'ship', 'fk_order', 'orders'), (2, 'line', 'FK_ORDER', 'orders'), (3, 'orders', 'fk_self', 'ORDERS'), (4, 'item', 'FK_PART', 'part')"
 SNAPSHOTS = "VALUES ('orders', TIMESTAMP_NTZ '2024-01-30 00:00:00'), ('orders', TIMESTAMP_NTZ '2024-01-29 00:00:00'), ('ORDERS', TIMESTAMP_NTZ '2024-01-28 00:00:00'), ('orders', TIMESTAMP_NTZ '2024-01-27 00:00:00'), ('orders', TIMESTAMP_NTZ '2024-01-26 00:00:00'), ('orders', TIMESTAMP_NTZ '2024-01-25 00:00:00'), ('nation', TIMESTAMP_NTZ '2024-01-24 00:00:00'), ('nation', TIMESTAMP_NTZ '2024-01-23 23:59:59')"
+SETTINGS = "# a comment\nbbdd.url=jdbc\\:postgresql\\://db.host:5433\nbbdd.sid = erp\n\nbbdd.user:tad\nbbdd.password = a=b\nbbdd.rdbms=POSTGRE\n"
+RUN = "VALUES ('orders', 'SUCCESS', 1500, ''), ('events', 'SKIPPED', 0, 'already partitioned'), ('nation', 'FAILURE', 0, 'no column ts'), ('part', 'SUCCESS', 20, '')"
 NOW = dt.datetime(2024, 1, 31)
 
 
@@ -235,6 +238,34 @@ def _key_names(s, d):
     return s.createDataFrame(out, "table_name string, key_name string")
 
 
+def _settings(s, d):
+    path = Path(storage.work_dir(s).removeprefix("file://"))
+    path.mkdir(parents=True)
+    (path / "p.properties").write_text(SETTINGS)
+    found = definitions.connection(definitions.properties(str(path / "p.properties")))
+    return s.createDataFrame(sorted(found.items()), "name string, value string")
+
+
+def _field_types(s, d):
+    rows = [(t, f.name, scalars.is_partition_key(f.dataType)) for t in ("orders", "events", "nation") for f in _t(s, d, t).schema]
+    return s.createDataFrame(rows, "table_name string, column_name string, is_partition_key boolean")
+
+
+def _forced(s, d):
+    """Whether definitions force a table, at first and once it was noted."""
+    files, _ = _xml(s)
+    r = _registry(s, d, "nation")
+    later = dt.datetime(2200, 1, 1)
+    rows = [(t, *(related.forced(r, files, t, later) for _ in range(2))) for t in ("orders", "part", "nowhere")]
+    return s.createDataFrame(rows, "table_name string, first boolean, second boolean")
+
+
+def _report(s, d):
+    rows = _v(s, RUN, "table_name, status, n_rows, message").collect()  # a few rows, fixed above
+    text = cli.report([storage.Outcome(r.table_name, r.status, r.message, r.n_rows) for r in rows])
+    return s.createDataFrame([(x,) for x in text.split("\n")], "line string")
+
+
 def _stream(s, d):
     """Lines with a helper on every second order, as a stream, filled by batch."""
     path, top = storage.work_dir(s), storage.work_dir(s)
@@ -283,6 +314,10 @@ def queries() -> dict:
         "many_tables": _many,
         "partition_plan": lambda s, d: rebuild.partition_plan(s, "orders", FIELD, ["lineitem", "ship"]),
         "stream_fill": _stream,
+        "connection_settings": _settings,
+        "partition_field_types": _field_types,
+        "forced_references": _forced,
+        "run_report": _report,
     }
 
 
@@ -338,5 +373,12 @@ def oracle_sql() -> dict[str, str]:
         "drop_column": "SELECT * EXCLUDE (n_name), true AS first, false AS second FROM nation",
         "many_tables": "SELECT 'orders' AS table_name, 'SUCCESS' AS status, (SELECT count(*) FROM orders) AS n_rows, true AS timed UNION ALL SELECT 'events', 'SKIPPED', 0, true UNION ALL SELECT 'nation', 'FAILURE', 0, true UNION ALL SELECT 'nowhere', 'FAILURE', 0, true",
         "partition_plan": "SELECT CAST(row_number() OVER (ORDER BY i, target) AS INTEGER) AS step, action, target FROM (SELECT i, action, unnest(CASE i WHEN 1 THEN ['orders.o_orderdate'] WHEN 2 THEN ['lineitem', 'ship'] ELSE ['orders'] END) AS target FROM (VALUES (1, 'check field'), (2, 'sync related tables'), (3, 'record dependent views'), (4, 'record foreign keys'), (5, 'record triggers'), (6, 'record primary key'), (7, 'stage by year'), (8, 'verify'), (9, 'publish')) t(i, action))",
+        "connection_settings": "WITH t AS (SELECT trim(k) AS k, replace(trim(v), chr(92), '') AS v FROM (SELECT regexp_extract(l, '^([^=:]*)[=:](.*)$', 1) AS k, regexp_extract(l, '^([^=:]*)[=:](.*)$', 2) AS v FROM (SELECT unnest(string_split('" + SETTINGS.replace("\n", "' || chr(10) || '") + """', chr(10))) AS l) WHERE l NOT LIKE '#%' AND l <> '')),
+            u AS (SELECT v AS url FROM t WHERE k = 'bbdd.url')
+            SELECT 'url' AS name, url || '/' || (SELECT v FROM t WHERE k = 'bbdd.sid') AS value FROM u UNION ALL SELECT 'host', regexp_extract(url, '//([^:/]+):', 1) FROM u UNION ALL SELECT 'port', regexp_extract(url, ':([0-9]+)$', 1) FROM u
+            UNION ALL SELECT replace(k, 'bbdd.', ''), v FROM t WHERE k IN ('bbdd.user', 'bbdd.password')""",
+        "partition_field_types": "SELECT table_name, column_name, data_type IN ('DATE', 'TIMESTAMP', 'TIMESTAMP WITH TIME ZONE') AS is_partition_key FROM information_schema.columns WHERE table_name IN ('orders', 'events', 'nation')",
+        "forced_references": f"SELECT w AS table_name, EXISTS (SELECT 1 FROM {_X} WHERE lower(target) = w) AS first, EXISTS (SELECT 1 FROM {_X} JOIN (SELECT DISTINCT file_order, file FROM {_F}) f USING (file_order) WHERE lower(target) = w AND file LIKE '%modifiedTables%') AS second FROM (VALUES ('orders'), ('part'), ('nowhere')) t(w)",
+        "run_report": f"SELECT status || ' ' || table_name || ': ' || n_rows || ' rows, 0.0 s' || CASE message WHEN '' THEN '' ELSE ' (' || message || ')' END AS line FROM {_from(RUN, 'table_name, status, n_rows, message')} UNION ALL SELECT count(*) FILTER (status = 'SUCCESS') || ' done, ' || count(*) FILTER (status = 'SKIPPED') || ' skipped, ' || count(*) FILTER (status = 'FAILURE') || ' failed; 0 helpers set' FROM {_from(RUN, 'table_name, status, n_rows, message')}",
         "stream_fill": f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 2 = 0 THEN TIMESTAMP '1990-01-01' ELSE o_orderdate END AS {HELPER} FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey",
     }
