@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import prepare, private, table
 
 NEVER = 1 << 40
-CACHE_ENTRIES, TABLE_STATES, WIDTH, NODE, LONG_WORD = 1 << 19, 1 << 18, 64, 24, 1 << 14
+CACHE_ENTRIES, TABLE_STATES, WIDTH, NODE, LONG_WORD = 1 << 17, 1 << 18, 64, 24, 1 << 14
 
 # The pre-tokenizer pattern of byte-level BPE.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
