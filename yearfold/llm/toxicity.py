@@ -56,21 +56,20 @@ class Marks:
     """The distinct buckets of each text."""
 
     def __init__(self, texts: list[str]):
-        own = [np.unique(np.fromiter((b for w in words_of(t) for b in buckets_of(w)), dtype=np.int64)) for t in texts]
-        self.buckets = np.concatenate([np.zeros(0, dtype=np.int64), *own])
-        self.text = np.repeat(np.arange(len(texts)), [len(x) for x in own])
+        own = [np.unique(np.fromiter((b for w in words_of(t) for b in buckets_of(w)), dtype=np.int32)) for t in texts]
+        self.buckets = np.concatenate([np.zeros(0, dtype=np.int32), *own])
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in own])
 
     def choose(self, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The FEATURES buckets, in order, whose presence differs most between the classes among these rows (chi-square); all in LEAST_TEXTS texts."""
         n1, n0 = max(1.0, y[rows].sum()), max(1.0, (1 - y[rows]).sum())
-        there = rows[self.text]
-        b, of = self.buckets[there], self.text[there]
-        c1 = np.bincount(b[y[of] > 0], minlength=BUCKETS)
-        c0 = np.bincount(b[y[of] == 0], minlength=BUCKETS)
+        c1, c0 = (np.bincount(self.buckets[(rows & (y == k))[self.text]], minlength=BUCKETS).astype(np.int32) for k in (1, 0))
+        at = np.flatnonzero(c1 + c0 >= LEAST_TEXTS)
+        c1, c0 = c1[at], c0[at]
         p = (c1 + c0) / (n1 + n0)
-        score = (c1 / n1 - c0 / n0) ** 2 / np.maximum(p * (1 - p), 1e-9) * (c1 + c0 >= LEAST_TEXTS)
-        best = np.lexsort((np.arange(BUCKETS), -score))[:FEATURES] if np.count_nonzero(score) > FEATURES else np.flatnonzero(score)
-        return np.sort(best[score[best] > 0])
+        score = (c1 / n1 - c0 / n0) ** 2 / np.maximum(p * (1 - p), 1e-9)
+        best = np.lexsort((at, -score))[:FEATURES]
+        return np.sort(at[best[score[best] > 0]])
 
     def dense(self, chosen: np.ndarray, n: int) -> np.ndarray:
         x = np.zeros((n, len(chosen)), dtype=np.float32)
