@@ -561,8 +561,9 @@ def test_very_long_texts(spark):
     assert time.time() - began < 300
 
 
-def test_salted_joins_give_the_same(spark, docs, monkeypatch):
-    """Where tables are too large to broadcast, the salted joins give the same rows."""
+@pytest.mark.parametrize("hot", [1 << 17, 3, 0])
+def test_shuffled_joins_give_the_same(spark, docs, monkeypatch, hot):
+    """Where tables are too large to broadcast, joins by shuffle, with hot keys apart, give the same rows."""
     from yearfold.llm import common
 
     d = labelled(spark, 60).drop("quality", "toxic")
@@ -571,5 +572,7 @@ def test_salted_joins_give_the_same(spark, docs, monkeypatch):
     labels = labelled(spark, 60).select("doc_id", "quality", "toxic")
     run = lambda: [sorted(map(str, df.collect())) for df in (simhash.near_duplicates(docs.union(docs)), licenses.scan(named, path), quality.score(d, labels).select("doc_id", F.round("p_quality", 9), F.round("host_posterior", 9), F.round("path_posterior", 9)), decontaminate.contamination(docs, spark.createDataFrame([(1, P)], "item_id long, text string")))]
     want = run()
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "LOOKUP_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 1 << 40)
     assert run() == want

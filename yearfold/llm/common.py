@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_ARROW_BATCH = 512
-BROADCAST_BYTES, SALTS = 32 << 20, 32
+BROADCAST_BYTES, LOOKUP_BYTES = 32 << 20, 8 << 20
+HOT_ROWS, HOT_KEYS = 1 << 17, 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,19 +55,26 @@ def let(value: str, name: str, body: str) -> str:
 
 
 def looked_up(rows: DataFrame, found: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """rows joined with found, which is unique by `on`; both come from checkpoints or files.
+    """rows joined (left or inner) with found, which is unique by `on`; both come from checkpoints or files.
 
-    found is broadcast if its measured size allows. Else keys that many rows share are salted by
-    the rows' position: each row of found goes to SALTS places, so that no key is in one task.
+    found is broadcast if its measured size allows. Else keys that very many rows share are told
+    from the others by counting, HOT_KEYS at most; what found has of them is broadcast, the other
+    rows are joined by shuffle, and rows with a null key, which match nothing, take no part in it.
     """
     sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in found.columns]
     size = found.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
+    if size <= LOOKUP_BYTES:
         return rows.join(F.broadcast(found), on, how)
-    p = private(rows)
-    salted = rows.withColumn(p, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)))
-    spread = found.withColumn(p, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(spread, [*on, p], how).drop(p)
+    null = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in on))
+    named = rows.where(~null)
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = F.broadcast(named.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*on).checkpoint())
+    out = named.join(hot, on, "left_anti").join(found, on, how)
+    out = out.union(named.join(hot, on, "left_semi").join(F.broadcast(found.join(hot, on, "left_semi")), on, how).select(*out.columns))
+    if how == "left":
+        more = [c for c in found.columns if c not in on]
+        out = out.union(rows.where(null).select("*", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more]).select(*out.columns))
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
