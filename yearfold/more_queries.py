@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from pathlib import Path
 from xml.sax.saxutils import quoteattr
 
@@ -45,6 +46,11 @@ def _v(spark, values, names):
     return spark.sql(f"SELECT * FROM {values} AS t({names})")
 
 
+def _local(path: str) -> str:
+    """As the driver's own file functions take it."""
+    return re.sub("^file:/+", "/", path)
+
+
 def _copies(spark, d, *names):
     """Datasets of their own, to be rewritten; their folder."""
     top = storage.work_dir(spark)
@@ -223,7 +229,7 @@ def xml_project(top: str, rows, keys) -> str:
 
 def _xml(s):
     """(files, definitions) of the project above; definitions lie beside the code that reads them, on the driver's side, as files of a build do."""
-    top = storage.work_dir(s).removeprefix("file://")
+    top = _local(storage.work_dir(s))
     xml_project(top, [tuple(r) for r in _v(s, FILES, "a, f, t, c, k, p").orderBy("a").collect()], [tuple(r) for r in _v(s, XML_KEYS, "a, t, n, k").collect()])
     files = definitions.find(top)
     return files, definitions.read(s, files)
@@ -239,7 +245,7 @@ def _key_names(s, d):
 
 
 def _settings(s, d):
-    path = Path(storage.work_dir(s).removeprefix("file://"))
+    path = Path(_local(storage.work_dir(s)))
     path.mkdir(parents=True)
     (path / "p.properties").write_text(SETTINGS)
     found = definitions.connection(definitions.properties(str(path / "p.properties")))
